@@ -16,8 +16,11 @@ def level_length(level: str) -> int:
 
 
 def has_census_code(field: Column) -> Column:
-    """True where the field starts like a census code."""
-    return field.rlike(fixed.CENSUS_FIELD_PATTERN)
+    """True where the field starts like a census code.
+
+    The pattern implies the plain prefix, which is there to reach the scan.
+    """
+    return field.startswith(fixed.CENSUS_FIELD_START) & field.rlike(fixed.CENSUS_FIELD_PATTERN)
 
 
 def clean_code(field: Column) -> Column:

@@ -7,6 +7,7 @@ NOT_BLOCKED_CODE = "-"
 BLOCKING_DEBT = 10
 
 # Patterns of the tagged census field, e.g. |s25|c017|t383101|b1.
+CENSUS_FIELD_START = "|s"
 CENSUS_FIELD_PATTERN = r"^[|]s\d{2}"
 SUBFIELD_MARKER_PATTERN = r"[|][sctb]"
 

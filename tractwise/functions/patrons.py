@@ -20,7 +20,7 @@ def as_of_date(as_of: date | str | Column | None = None) -> Column:
 
 def age_in_years(birth: Column, as_of: Column) -> Column:
     """Completed calendar years; someone born on 29 February ages on 1 March."""
-    return F.timestamp_diff("YEAR", F.to_date(birth), as_of)
+    return F.timestamp_diff("YEAR", F.to_date(birth), as_of).cast("int")
 
 
 def within_last_year(moment: Column, as_of: Column) -> Column:

@@ -28,8 +28,12 @@ def in_service_areas(coded: DataFrame, service_area: DataFrame) -> DataFrame:
 
     No side is forced to be broadcast. A catalogue file is small enough for Spark
     to do so by its size; one that is not is joined by tract with skew splitting.
+
+    A code is never NULL. Saying so keeps Spark from adding a null check that would
+    clean every field a second time.
     """
-    return coded.withColumn("tract", codes.tract_of(F.col("code"))).join(service_area, "tract")
+    tract = F.coalesce(codes.tract_of(F.col("code")), F.lit(""))
+    return coded.withColumn("tract", tract).join(service_area, "tract")
 
 
 def patron_areas(coded: DataFrame, keys: list[str], level: str) -> DataFrame:

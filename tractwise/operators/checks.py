@@ -12,8 +12,9 @@ from tractwise.sources.tables import PatronTables
 def key_violations(tables: PatronTables) -> DataFrame:
     """Keys that break a condition of ``patron_stats``; empty for sound tables.
 
-    Patron and metadata ids are unique, and a hold belongs to one patron. Where
-    this returns rows, use ``patron_stats_direct``.
+    Patron and metadata ids are unique, and a hold belongs to one patron (and, with
+    ``unique_holds``, occurs once). Where this returns rows, use
+    ``patron_stats_direct``.
     """
 
     def repeated(frame: DataFrame, table: str, count) -> DataFrame:
@@ -30,7 +31,7 @@ def key_violations(tables: PatronTables) -> DataFrame:
         repeated(
             tables.hold.where(F.col("id").isNotNull()),
             "hold",
-            F.count_distinct("patron_record_id"),
+            F.count("*") if tables.unique_holds else F.count_distinct("patron_record_id"),
         ),
     ]
     return reduce(DataFrame.unionAll, parts)

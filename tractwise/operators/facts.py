@@ -50,14 +50,16 @@ def address_counts(patron_record_address: DataFrame) -> DataFrame:
     )
 
 
-def hold_counts(hold: DataFrame) -> DataFrame:
+def hold_counts(hold: DataFrame, unique: bool = False) -> DataFrame:
     """Hold rows and distinct holds per patron.
 
     Spark spreads the distinct count over (patron, hold) before it gathers
-    patrons, so one patron with a large share of all holds is no hot task.
+    patrons, so one patron with a large share of all holds is no hot task. That
+    takes two shuffles of all holds; where the caller knows hold ids to be unique,
+    plain counts take one, of already counted rows.
     """
-    return (
-        hold.select(F.col("patron_record_id").alias("id"), F.col("id").alias("hold_id"))
-        .groupBy("id")
-        .agg(F.count("*").alias("holds"), F.count_distinct("hold_id").alias("distinct_holds"))
+    holds = hold.select(F.col("patron_record_id").alias("id"), F.col("id").alias("hold_id"))
+    distinct = F.count("hold_id") if unique else F.count_distinct("hold_id")
+    return holds.groupBy("id").agg(
+        F.count("*").alias("holds"), distinct.alias("distinct_holds")
     )

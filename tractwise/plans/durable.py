@@ -1,0 +1,21 @@
+"""Intermediate results that outlive the executors that computed them."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def checkpointed(frame: DataFrame) -> DataFrame:
+    """Store a result in the session's checkpoint directory and go on from there.
+
+    On a cluster ``spark.checkpoint.dir`` names shared storage. None is made up
+    here: a folder of one machine would be lost with it.
+    """
+    spark = frame.sparkSession
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if configured is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(configured)
+    return frame.checkpoint()

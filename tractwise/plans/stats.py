@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tractwise.functions import codes, fixed, numbers, patrons
 from tractwise.operators import areas, facts
+from tractwise.plans.durable import checkpointed
 from tractwise.sources.catalogue import service_area_tracts
 from tractwise.sources.tables import PatronTables
 
@@ -21,16 +22,27 @@ def patron_stats(
     as_of: Day = None,
     level: str = "block_group",
     min_patrons: int | None = None,
+    broadcast_up_to: int | None = None,
 ) -> DataFrame:
     """Statistics of the areas in ``tracts`` (all areas when left out).
 
     Areas with fewer than ``min_patrons`` cardholders are dropped. Sorted by
     cardholders, most first.
+
+    For a few tracts of very large tables give ``broadcast_up_to``. The cardholders
+    of the tracts are then stored in the session's checkpoint directory and counted.
+    If there are no more than that, the other tables are reduced to them where they
+    are read, and nothing large is shuffled; else the plan is the usual one.
     """
     coded = areas.census_fields(tables.varfield)
     if tracts is not None:
         coded = areas.in_tracts(coded, tracts)
-    rows = _patron_rows(areas.patron_areas(coded, [], level), tables, as_of)
+    located = areas.patron_areas(coded, [], level)
+    if broadcast_up_to is not None:
+        located = checkpointed(located)
+        if located.count() <= broadcast_up_to:
+            tables = tables.of_patrons(located)
+    rows = _patron_rows(located, tables, as_of)
     return _sorted(_with_url(_at_least(_totals(rows, []), min_patrons), level), [])
 
 
@@ -153,7 +165,7 @@ def _patron_rows(patron_areas: DataFrame, tables: PatronTables, as_of: Day) -> D
         patron_areas.join(facts.patron_measures(tables.patron_record, today), "id")
         .join(facts.address_counts(tables.patron_record_address), "id")
         .join(facts.patron_creation(tables.record_metadata, today), "id")
-        .join(facts.hold_counts(tables.hold), "id", "left")
+        .join(facts.hold_counts(tables.hold, tables.unique_holds), "id", "left")
     )
     copies = F.col("fields") * F.col("addresses") * F.coalesce("holds", F.lit(1))
     return joined.withColumn("copies", copies).drop("fields", "addresses", "holds")

@@ -5,9 +5,18 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-CATALOGUE_SCHEMA = "library STRING, tracts ARRAY<STRING>, lat DOUBLE, lon DOUBLE, zoom INT"
+CATALOGUE_SCHEMA = pa.schema(
+    [
+        ("library", pa.string()),
+        ("tracts", pa.list_(pa.string())),
+        ("lat", pa.float64()),
+        ("lon", pa.float64()),
+        ("zoom", pa.int32()),
+    ]
+)
 
 
 def tract_list(tracts: str | Iterable[str]) -> list[str]:
@@ -25,12 +34,18 @@ def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def catalogue_of(spark: SparkSession, libraries: Iterable[tuple]) -> DataFrame:
-    """Catalogue from ``(library, tracts[, lat, lon, zoom])`` tuples."""
+    """Catalogue from ``(library, tracts[, lat, lon, zoom])`` tuples.
+
+    Passed as an Arrow table, the rows become a local relation of known size, by
+    which Spark decides whether to broadcast them.
+    """
     rows = []
     for library, tracts, *view in libraries:
         lat, lon, zoom = view or (None, None, None)
-        rows.append((library, tract_list(tracts), lat, lon, zoom))
-    return spark.createDataFrame(rows, CATALOGUE_SCHEMA)
+        rows.append(
+            {"library": library, "tracts": tract_list(tracts), "lat": lat, "lon": lon, "zoom": zoom}
+        )
+    return spark.createDataFrame(pa.Table.from_pylist(rows, CATALOGUE_SCHEMA))
 
 
 def service_area_tracts(catalogue: DataFrame) -> DataFrame:

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tractwise.sources.jdbc import jdbc_reader
 from tractwise.sources.schemas import TABLES, UNIQUE_KEYS
@@ -13,13 +13,34 @@ from tractwise.sources.schemas import TABLES, UNIQUE_KEYS
 
 @dataclass(frozen=True)
 class PatronTables:
-    """Inputs of the statistics. Any reader will do as long as the columns fit."""
+    """Inputs of the statistics. Any reader will do as long as the columns fit.
+
+    Set ``unique_holds`` where ``hold.id`` is a key: it saves a shuffle of all holds.
+    """
 
     patron_record: DataFrame
     patron_record_address: DataFrame
     record_metadata: DataFrame
     hold: DataFrame
     varfield: DataFrame
+    unique_holds: bool = False
+
+    def of_patrons(self, patrons: DataFrame) -> PatronTables:
+        """The rows of some patrons (``id``), few enough to be broadcast.
+
+        The caller has counted them. ``varfield`` stays whole.
+        """
+        few = F.broadcast(patrons.select(F.col("id").alias("few_id")).distinct())
+        kept = {
+            name: frame.join(few, frame[TABLES[name][1]] == F.col("few_id"), "left_semi")
+            for name, frame in (
+                ("patron_record", self.patron_record),
+                ("patron_record_address", self.patron_record_address),
+                ("record_metadata", self.record_metadata),
+                ("hold", self.hold),
+            )
+        }
+        return replace(self, **kept)
 
 
 def parquet_tables(spark: SparkSession, root: str) -> PatronTables:

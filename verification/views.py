@@ -16,7 +16,7 @@ from tractwise import PatronTables
 AS_OF = date(2001, 8, 1)
 
 # Tracts of the nations of one region, as a caller would write them.
-ASIA_TRACTS = "'381800','381900','382200','382800','383100'"
+ASIA_TRACTS = "'381200','381700','382200','382700','383200'"
 
 BASE_SCHEMAS = {
     "customer": "c_custkey BIGINT, c_nationkey INT, c_acctbal DOUBLE, c_mktsegment STRING",
