@@ -1,0 +1,103 @@
+"""Readers and the service-area catalogue."""
+
+import pytest
+from pyspark.sql import functions as F
+
+import tractwise
+from tractwise.sources import catalogue, files, jdbc
+from tests import small
+from tests.small import TODAY, patron
+
+
+def test_population_keeps_leading_zeros_and_reads_by_name(spark, tmp_path):
+    path = tmp_path / "population.csv"
+    path.write_bytes(
+        b"geographic_area_name,extra,geoid,estimated_population\r\n"
+        b'"Block Group 1, Tract 1",x,010017383101,812\r\n"Block Group 2, Tract 1",,250173831012,\r\n'
+    )
+    rows = [tuple(row) for row in files.read_population(spark, str(path)).collect()]
+    assert rows == [
+        ("010017383101", "Block Group 1, Tract 1", 812),
+        ("250173831012", "Block Group 2, Tract 1", None),
+    ]
+
+
+def test_boundary_table_has_lower_case_names(spark, tmp_path):
+    source = spark.createDataFrame([("250173831011", "{}", 5)], "GEOID STRING, geometry_json STRING, ALAND INT")
+    source.write.parquet(f"{tmp_path}/boundary")
+    assert files.read_boundary_table(spark, f"{tmp_path}/boundary").columns == ["geoid", "geometry_json", "aland"]
+
+
+def test_boundary_features(spark, tmp_path):
+    path = tmp_path / "boundary.geojsonl"
+    path.write_text(
+        '{"type":"Feature","properties":{"GEOID":"010017383101","ALAND":5},'
+        '"geometry":{"type":"Point","coordinates":[-71.5,42.25]}}\n'
+        '{"type":"Feature","properties":{"GEOID":"250173831012","ALAND":null},"geometry":null}\n'
+    )
+    rows = files.read_boundary_features(spark, str(path), ("GEOID", "ALAND")).collect()
+    assert [tuple(row) for row in rows] == [
+        ("010017383101", "5", '{"type":"Point","coordinates":[-71.5,42.25]}'),
+        ("250173831012", None, None),
+    ]
+
+
+def test_tract_list():
+    assert catalogue.tract_list("'363102','363103', '363102'") == ["363102", "363103"]
+    assert catalogue.tract_list(["980000", "323100"]) == ["323100", "980000"]
+
+
+def test_catalogue_file(spark, tmp_path):
+    path = tmp_path / "areas.csv"
+    path.write_text("library,tracts,lat,lon,zoom\nNorth,383101 383102,42.25,-71.5,11\nSouth,980000,,,\n")
+    read = catalogue.read_catalogue(spark, str(path))
+    assert [tuple(row) for row in read.orderBy("library").collect()] == [
+        ("North", ["383101", "383102"], 42.25, -71.5, 11),
+        ("South", ["980000"], None, None, None),
+    ]
+
+
+def test_catalogue_from_calls(spark):
+    built = tractwise.catalogue_of(
+        spark, [("North", "'383101','383102'", 42.25, -71.5, 11), ("South", ["980000"])]
+    )
+    tracts = catalogue.service_area_tracts(built.union(built))
+    assert sorted(tuple(row) for row in tracts.collect()) == [
+        ("North", "383101"),
+        ("North", "383102"),
+        ("South", "980000"),
+    ]
+    views = catalogue.map_views(built.union(built)).orderBy("library").collect()
+    assert [tuple(row) for row in views] == [("North", 42.25, -71.5, 11), ("South", None, None, None)]
+
+
+def test_jdbc_options():
+    options = jdbc.jdbc_options(
+        "jdbc:postgresql://db/iii", "sierra_view.hold", "patron_record_id", (10, 20), 4, user="u", fetchsize="5"
+    )
+    assert options == {
+        "url": "jdbc:postgresql://db/iii",
+        "dbtable": "sierra_view.hold",
+        "driver": "org.postgresql.Driver",
+        "partitionColumn": "patron_record_id",
+        "lowerBound": "10",
+        "upperBound": "20",
+        "numPartitions": "4",
+        "fetchsize": "5",
+        "user": "u",
+    }
+
+
+@pytest.mark.parametrize("bounds, partitions", [((2, 1), 4), ((1, 2), 0)])
+def test_jdbc_options_reject_nonsense(bounds, partitions):
+    with pytest.raises(ValueError):
+        jdbc.jdbc_options("jdbc:postgresql://db/iii", "t", "id", bounds, partitions)
+
+
+def test_parquet_tables_round_trip(spark, tmp_path):
+    tables = small.tables(spark, small.data([patron(1)], holds=[(1, 1)]))
+    for name in ("patron_record", "patron_record_address", "record_metadata", "hold", "varfield"):
+        frame = getattr(tables, name).withColumn("unused", F.lit("x"))
+        frame.write.parquet(f"{tmp_path}/{name}")
+    read = tractwise.parquet_tables(spark, str(tmp_path))
+    assert tractwise.patron_stats(read, as_of=TODAY).first().total_patrons == 1
