@@ -42,8 +42,5 @@ def patron_areas(coded: DataFrame, keys: list[str], level: str) -> DataFrame:
     Fields are counted before they are gathered by patron, which bounds a patron
     with very many fields by the number of areas.
     """
-    return (
-        coded.withColumn("geoid", codes.area_of(F.col("code"), level))
-        .groupBy(*keys, "geoid", "id")
-        .agg(F.count("*").alias("fields"))
-    )
+    area = codes.area_of(F.col("code"), level).alias("geoid")
+    return coded.groupBy(*keys, area, "id").agg(F.count("*").alias("fields"))

@@ -43,7 +43,7 @@ def patron_stats(
         if located.count() <= broadcast_up_to:
             tables = tables.of_patrons(located)
     rows = _patron_rows(located, tables, as_of)
-    return _sorted(_with_url(_at_least(_totals(rows, []), min_patrons), level), [])
+    return _report(_totals(rows, []), [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
 def library_stats(
@@ -59,7 +59,7 @@ def library_stats(
         areas.census_fields(tables.varfield), service_area_tracts(catalogue)
     )
     rows = _patron_rows(areas.patron_areas(coded, keys, level), tables, as_of)
-    return _sorted(_with_url(_at_least(_totals(rows, keys), min_patrons), level), keys)
+    return _report(_totals(rows, keys), keys, codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
 def rollup_stats(
@@ -100,11 +100,9 @@ def rollup_stats(
             *[F.any_value(name).alias(name) for name in per_patron],
         )
     )
-    stats = _at_least(_totals(regrouped, [*keys, "level"]), min_patrons)
-    stats = stats.withColumn(
-        "census_reporter_url", codes.profile_url_at(F.col("geoid"), F.col("level"))
-    )
-    return _sorted(stats, [*keys, "level"])
+    keys = [*keys, "level"]
+    url = codes.profile_url_at(F.col("geoid"), F.col("level"))
+    return _report(_totals(regrouped, keys), keys, url, min_patrons)
 
 
 def patron_stats_direct(
@@ -127,11 +125,11 @@ def patron_stats_direct(
         F.col("patron_record_id").alias("id"), F.col("id").alias("hold_id")
     )
     joined = (
-        coded.join(facts.patron_measures(tables.patron_record, today), "id")
+        coded.select("id", codes.area_of(F.col("code"), level).alias("geoid"))
+        .join(facts.patron_measures(tables.patron_record, today), "id")
         .join(facts.mailing_addresses(tables.patron_record_address), "id")
         .join(facts.patron_creation(tables.record_metadata, today), "id")
         .join(holds, "id", "left")
-        .withColumn("geoid", codes.area_of(F.col("code"), level))
     )
 
     def patrons_where(flag: str) -> Column:
@@ -149,7 +147,7 @@ def patron_stats_direct(
         patrons_where("is_active").alias("total_active_patrons"),
         patrons_where("is_blocked").alias("total_blocked_patrons"),
     )
-    return _sorted(_with_url(_at_least(_with_rates(totals), min_patrons), level), [])
+    return _report(totals, [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
 def _patron_rows(patron_areas: DataFrame, tables: PatronTables, as_of: Day) -> DataFrame:
@@ -167,8 +165,11 @@ def _patron_rows(patron_areas: DataFrame, tables: PatronTables, as_of: Day) -> D
         .join(facts.patron_creation(tables.record_metadata, today), "id")
         .join(facts.hold_counts(tables.hold, tables.unique_holds), "id", "left")
     )
+    factors = ("fields", "addresses", "holds")
     copies = F.col("fields") * F.col("addresses") * F.coalesce("holds", F.lit(1))
-    return joined.withColumn("copies", copies).drop("fields", "addresses", "holds")
+    return joined.select(
+        *[name for name in joined.columns if name not in factors], copies.alias("copies")
+    )
 
 
 def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -178,7 +179,7 @@ def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
         return F.sum(F.col(name) * F.col("copies"))
 
     known_ages = F.sum(F.when(F.col("age").isNotNull(), F.col("copies")))
-    totals = rows.groupBy(*keys, "geoid").agg(
+    return rows.groupBy(*keys, "geoid").agg(
         F.count("*").alias("total_patrons"),
         weighted("checkout_total").alias("total_checkouts"),
         weighted("renewal_total").alias("total_renewals"),
@@ -190,30 +191,23 @@ def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
         F.count_if("is_active").alias("total_active_patrons"),
         F.count_if("is_blocked").alias("total_blocked_patrons"),
     )
-    return _with_rates(totals)
-
-
-def _with_rates(totals: DataFrame) -> DataFrame:
-    patron_count = F.col("total_patrons")
-    return totals.withColumns(
-        {
-            "pct_active": numbers.percent_text(F.col("total_active_patrons"), patron_count),
-            "pct_blocked": numbers.percent_text(F.col("total_blocked_patrons"), patron_count),
-            "checkouts_per_patron": numbers.ratio_text(F.col("total_checkouts"), patron_count),
-        }
-    )
-
 
-def _at_least(stats: DataFrame, min_patrons: int | None) -> DataFrame:
-    return stats if min_patrons is None else stats.where(F.col("total_patrons") >= min_patrons)
-
-
-def _with_url(stats: DataFrame, level: str) -> DataFrame:
-    return stats.withColumn("census_reporter_url", codes.profile_url(F.col("geoid"), level))
 
+def _report(
+    totals: DataFrame, keys: list[str], url: Column, min_patrons: int | None
+) -> DataFrame:
+    """Totals with rates and profile address, in declared column order.
 
-def _sorted(stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Declared column order; areas with most patrons first, ties by area id."""
-    return stats.select(*keys, *fixed.STAT_COLUMNS).orderBy(
-        *keys, F.desc("total_patrons"), "geoid"
-    )
+    Areas with most patrons come first, ties by area id.
+    """
+    patron_count = F.col("total_patrons")
+    derived = {
+        "pct_active": numbers.percent_text(F.col("total_active_patrons"), patron_count),
+        "pct_blocked": numbers.percent_text(F.col("total_blocked_patrons"), patron_count),
+        "checkouts_per_patron": numbers.ratio_text(F.col("total_checkouts"), patron_count),
+        "census_reporter_url": url,
+    }
+    if min_patrons is not None:
+        totals = totals.where(patron_count >= min_patrons)
+    columns = [derived.get(name, F.col(name)).alias(name) for name in fixed.STAT_COLUMNS]
+    return totals.select(*keys, *columns).orderBy(*keys, F.desc("total_patrons"), "geoid")

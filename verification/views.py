@@ -7,6 +7,7 @@ boundaries hold the areas that customers live in.
 
 from __future__ import annotations
 
+import re
 from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -84,16 +85,23 @@ FROM (SELECT '25' || county || {_TRACT.format("c_nationkey")} || block_group AS
 }
 
 
-def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def _register(spark: SparkSession, sf_dir: str, texts: list[str]) -> None:
+    """Make the base tables that the texts name available to SQL."""
     for base, schema in BASE_SCHEMAS.items():
-        frame = spark.read.schema(schema).parquet(f"{sf_dir}/{base}.parquet")
-        frame.createOrReplaceTempView(base)
+        if any(re.search(rf"\b{base}\b", text) for text in texts):
+            frame = spark.read.schema(schema).parquet(f"{sf_dir}/{base}.parquet")
+            frame.createOrReplaceTempView(base)
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    _register(spark, sf_dir, [VIEWS[name]])
     return spark.sql(VIEWS[name])
 
 
 def tables(spark: SparkSession, sf_dir: str) -> PatronTables:
     names = ("patron_record", "patron_record_address", "record_metadata", "hold", "varfield")
-    return PatronTables(**{name: view(spark, sf_dir, name) for name in names})
+    _register(spark, sf_dir, [VIEWS[name] for name in names])
+    return PatronTables(**{name: spark.sql(VIEWS[name]) for name in names})
 
 
 def catalogue(spark: SparkSession, sf_dir: str, source: str = "service_area") -> DataFrame:
