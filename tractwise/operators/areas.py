@@ -43,4 +43,8 @@ def patron_areas(coded: DataFrame, keys: list[str], level: str) -> DataFrame:
     with very many fields by the number of areas.
     """
     area = codes.area_of(F.col("code"), level).alias("geoid")
-    return coded.groupBy(*keys, area, "id").agg(F.count("*").alias("fields"))
+    return (
+        coded.select(*keys, area, "id")
+        .groupBy(*keys, "geoid", "id")
+        .agg(F.count("*").alias("fields"))
+    )

@@ -88,7 +88,9 @@ def jdbc_tables(
 def save_bucketed(tables: PatronTables, database: str, buckets: int) -> None:
     """Store the tables in a catalog database, unique keys bucketed.
 
-    Reports then join patrons and their metadata without shuffling either. The
+    Reports then join patrons and their metadata without shuffling either. Run them
+    with ``spark.sql.shuffle.partitions`` set to the number of buckets; any other
+    number makes Spark shuffle the counted addresses and holds a second time. The
     other tables may hold very many rows of one patron, which bucketing would put
     into one task; they stay unbucketed and are counted before they are shuffled.
     """

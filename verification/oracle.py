@@ -165,6 +165,7 @@ ORACLE: dict[str, str] = {
     ),
     "patron_areas": _with("SELECT substr(code, 1, 12) AS geoid, id, COUNT(*) AS fields FROM census GROUP BY ALL"),
     "patron_stats": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
+    "patron_stats_distinct_holds": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
     "patron_stats_direct": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
     "patron_stats_tract": _level_stats("tract"),
     "patron_stats_county": _level_stats("county"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -123,6 +124,11 @@ def patron_stats(spark, sf_dir):
     return tractwise.patron_stats(views.tables(spark, sf_dir), ASIA_TRACTS, AS_OF)
 
 
+def patron_stats_distinct_holds(spark, sf_dir):
+    tables = replace(views.tables(spark, sf_dir), unique_holds=False)
+    return tractwise.patron_stats(tables, ASIA_TRACTS, AS_OF)
+
+
 def patron_stats_direct(spark, sf_dir):
     return tractwise.patron_stats_direct(views.tables(spark, sf_dir), ASIA_TRACTS, AS_OF)
 
@@ -243,6 +249,7 @@ QUERIES: dict[str, Query] = {
     "patron_holds": patron_holds,
     "patron_areas": patron_areas,
     "patron_stats": patron_stats,
+    "patron_stats_distinct_holds": patron_stats_distinct_holds,
     "patron_stats_direct": patron_stats_direct,
     "patron_stats_tract": stats_at("tract"),
     "patron_stats_county": stats_at("county"),

@@ -99,9 +99,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def tables(spark: SparkSession, sf_dir: str) -> PatronTables:
+    """The five tables. Holds are orders, which have unique keys."""
     names = ("patron_record", "patron_record_address", "record_metadata", "hold", "varfield")
     _register(spark, sf_dir, [VIEWS[name] for name in names])
-    return PatronTables(**{name: spark.sql(VIEWS[name]) for name in names})
+    return PatronTables(
+        **{name: spark.sql(VIEWS[name]) for name in names}, unique_holds=True
+    )
 
 
 def catalogue(spark: SparkSession, sf_dir: str, source: str = "service_area") -> DataFrame:
