@@ -73,11 +73,11 @@ def test_catalogue_from_calls(spark):
 
 def test_jdbc_options():
     options = jdbc.jdbc_options(
-        "jdbc:postgresql://db/iii", "sierra_view.hold", "patron_record_id", (10, 20), 4, user="u", fetchsize="5"
+        "jdbc:postgresql://db/library", "lending.hold", "patron_record_id", (10, 20), 4, user="u", fetchsize="5"
     )
     assert options == {
-        "url": "jdbc:postgresql://db/iii",
-        "dbtable": "sierra_view.hold",
+        "url": "jdbc:postgresql://db/library",
+        "dbtable": "lending.hold",
         "driver": "org.postgresql.Driver",
         "partitionColumn": "patron_record_id",
         "lowerBound": "10",
@@ -91,7 +91,7 @@ def test_jdbc_options():
 @pytest.mark.parametrize("bounds, partitions", [((2, 1), 4), ((1, 2), 0)])
 def test_jdbc_options_reject_nonsense(bounds, partitions):
     with pytest.raises(ValueError):
-        jdbc.jdbc_options("jdbc:postgresql://db/iii", "t", "id", bounds, partitions)
+        jdbc.jdbc_options("jdbc:postgresql://db/library", "t", "id", bounds, partitions)
 
 
 def test_parquet_tables_round_trip(spark, tmp_path):

@@ -1,4 +1,8 @@
-"""Partitioned outputs. A rerun replaces the partitions that it writes."""
+"""Partitioned outputs.
+
+A rerun replaces the partitions that it writes. A library that has no rows any more
+is not written, and keeps what it had.
+"""
 
 from __future__ import annotations
 

@@ -66,9 +66,9 @@ def catalog_tables(spark: SparkSession, database: str) -> PatronTables:
 def jdbc_tables(
     spark: SparkSession,
     url: str,
+    schema_name: str,
     bounds: Mapping[str, tuple[int, int]],
     num_partitions: int,
-    schema_name: str = "sierra_view",
     **options: str,
 ) -> PatronTables:
     """Read the tables from PostgreSQL in ``num_partitions`` key ranges each.
