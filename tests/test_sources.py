@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 import tractwise
 from tractwise.sources import catalogue, files, jdbc
+from tractwise.sources.schemas import TABLES
 from tests import small
 from tests.small import TODAY, patron
 
@@ -101,3 +102,27 @@ def test_parquet_tables_round_trip(spark, tmp_path):
         frame.write.parquet(f"{tmp_path}/{name}")
     read = tractwise.parquet_tables(spark, str(tmp_path))
     assert tractwise.patron_stats(read, as_of=TODAY).first().total_patrons == 1
+
+
+def test_jdbc_tables_read_key_ranges_of_every_table(spark, monkeypatch):
+    data = small.tables(spark, small.data([patron(1)], holds=[(1, 1)]))
+    calls = {}
+
+    class Reader:
+        def __init__(self, table):
+            self.table = table
+
+        def load(self):
+            return getattr(data, self.table).withColumn("unused", F.lit("x"))
+
+    def reader(session, url, table, key, bounds, partitions, **options):
+        calls[table] = (key, bounds, partitions, options)
+        return Reader(table.split(".")[1])
+
+    monkeypatch.setattr("tractwise.sources.tables.jdbc_reader", reader)
+    bounds = {name: (1, 9) for name in TABLES}
+    read = tractwise.jdbc_tables(spark, "jdbc:postgresql://db/library", "lending", bounds, 4, user="u")
+    assert calls["lending.varfield"] == ("record_id", (1, 9), 4, {"user": "u"})
+    assert len(calls) == 5
+    assert read.hold.columns == ["id", "patron_record_id"]
+    assert tractwise.patron_stats(read, as_of=TODAY).first().total_patrons == 1

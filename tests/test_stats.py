@@ -82,6 +82,9 @@ def test_few_patrons_are_broadcast_with_equal_result(spark, tmp_path):
     too_many = tractwise.patron_stats(tables, ["383101"], TODAY, broadcast_up_to=1)
     assert rows(small_enough) == expected
     assert rows(too_many) == expected
+    catalogue = tractwise.catalogue_of(spark, [("North", ["383101"])])
+    library = tractwise.library_stats(tables, catalogue, TODAY, broadcast_up_to=1000)
+    assert [tuple(row)[1:] for row in library.collect()] == expected
     plan = small_enough._jdf.queryExecution().optimizedPlan().toString()
     assert "LeftSemi" in plan
     assert "LeftSemi" not in too_many._jdf.queryExecution().optimizedPlan().toString()

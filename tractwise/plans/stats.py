@@ -38,11 +38,7 @@ def patron_stats(
     if tracts is not None:
         coded = areas.in_tracts(coded, tracts)
     located = areas.patron_areas(coded, [], level)
-    if broadcast_up_to is not None:
-        located = checkpointed(located)
-        if located.count() <= broadcast_up_to:
-            tables = tables.of_patrons(located)
-    rows = _patron_rows(located, tables, as_of)
+    rows = _patron_rows(*_reduced(located, tables, broadcast_up_to), as_of)
     return _report(_totals(rows, []), [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
@@ -52,13 +48,15 @@ def library_stats(
     as_of: Day = None,
     level: str = "block_group",
     min_patrons: int | None = None,
+    broadcast_up_to: int | None = None,
 ) -> DataFrame:
     """``patron_stats`` of every library of a catalogue in one job."""
     keys = ["library"]
     coded = areas.in_service_areas(
         areas.census_fields(tables.varfield), service_area_tracts(catalogue)
     )
-    rows = _patron_rows(areas.patron_areas(coded, keys, level), tables, as_of)
+    located = areas.patron_areas(coded, keys, level)
+    rows = _patron_rows(*_reduced(located, tables, broadcast_up_to), as_of)
     return _report(_totals(rows, keys), keys, codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
@@ -150,6 +148,18 @@ def patron_stats_direct(
     return _report(totals, [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
+def _reduced(
+    patron_areas: DataFrame, tables: PatronTables, broadcast_up_to: int | None
+) -> tuple[DataFrame, PatronTables]:
+    """Patron areas, and the tables cut down to their patrons if these are few."""
+    if broadcast_up_to is None:
+        return patron_areas, tables
+    stored = checkpointed(patron_areas)
+    if stored.count() > broadcast_up_to:
+        return stored, tables
+    return stored, tables.of_patrons(stored)
+
+
 def _patron_rows(patron_areas: DataFrame, tables: PatronTables, as_of: Day) -> DataFrame:
     """Patron areas with the patron's figures, and ``copies``, the number of
     joined rows each stands for.
