@@ -22,17 +22,19 @@ _BLOCKED = "(mblock_code <> '-' OR owed_amt >= 10)"
 _CENSUS = f"""
 SELECT record_id AS id, {_CLEAN} AS code FROM varfield
 WHERE varfield_type_code = 'k' AND {_MATCH}"""
-_JOINED = """
-SELECT p.*, m.creation_date_gmt, h.id AS hold_id, c.code, substr(c.code, 6, 6) AS tract
-FROM patron_record p
-JOIN patron_record_address a ON a.patron_record_id = p.id AND a.patron_record_address_type_id = '1'
-JOIN record_metadata m ON m.id = p.id
-LEFT JOIN hold h ON h.patron_record_id = p.id
-JOIN census c ON c.id = p.id"""
+_STEPS = {
+    "census": _CENSUS,
+    "mailing": "SELECT patron_record_id AS id FROM patron_record_address WHERE patron_record_address_type_id = '1'",
+    "held": "SELECT patron_record_id AS id, id AS hold_id FROM hold",
+    "joined": (
+        "SELECT *, substr(code, 6, 6) AS tract FROM census JOIN patron_record USING (id)"
+        " JOIN mailing USING (id) JOIN record_metadata USING (id) LEFT JOIN held USING (id)"
+    ),
+}
 
 
 def _with(query: str, **more: str) -> str:
-    steps = {**VIEWS, "census": _CENSUS, "joined": _JOINED, **more}
+    steps = {**VIEWS, **_STEPS, **more}
     return "WITH " + ",\n".join(f"{name} AS ({text})" for name, text in steps.items()) + "\n" + query
 
 
@@ -137,8 +139,8 @@ ORACLE: dict[str, str] = {
     "census_code_clean": _with(f"SELECT record_id, field_content, {_CLEAN} AS code FROM varfield"),
     "tract_code": _with(f"SELECT record_id, substr({_CLEAN}, 6, 6) AS tract FROM varfield"),
     "geoid_case": _with(
-        "SELECT id, CASE WHEN field_content IS NULL THEN 'no data' WHEN field_content = '' THEN ''"
-        f" ELSE substr({_CLEAN}, 1, 12) END AS geoid FROM patron_record LEFT JOIN varfield ON id = record_id"
+        f"SELECT id, coalesce(substr({_CLEAN}, 1, 12), 'no data') AS geoid"
+        " FROM patron_record LEFT JOIN varfield ON id = record_id"
     ),
     "census_url": _with(
         "SELECT id, CASE WHEN coalesce(field_content, '') = '' THEN 'na'"
@@ -156,9 +158,7 @@ ORACLE: dict[str, str] = {
         f" {_AGE} AS age, {_ACTIVE} AS is_active, {_BLOCKED} AS is_blocked FROM patron_record"
     ),
     "patron_creation": _with(f"SELECT id, {_NEW} AS is_new FROM record_metadata"),
-    "mailing_addresses": _with(
-        "SELECT patron_record_id AS id FROM patron_record_address WHERE patron_record_address_type_id = '1'"
-    ),
+    "mailing_addresses": _with("SELECT * FROM mailing"),
     "patron_holds": _with(
         "SELECT p.id, COUNT(h.patron_record_id) AS holds, COUNT(DISTINCT h.id) AS distinct_holds"
         " FROM patron_record p LEFT JOIN hold h ON h.patron_record_id = p.id GROUP BY p.id"
