@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tractwise.llm import byte_bpe, compression, simhash_bytes, stream_dedup, token_files
+from tractwise.llm import (
+    byte_bpe,
+    compression,
+    contextual_pii,
+    cross_parse,
+    ftrl,
+    length_buckets,
+    simhash_bytes,
+    stream_dedup,
+    token_files,
+    url_rules,
+)
 from tractwise.llm.common import shared_folder, stored, table
 
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -23,6 +34,41 @@ def op2_compression_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compression.judged(table(spark, sf_dir, "documents"))
 
 
+def op3_ftrl_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return ftrl.fitted_and_scored(docs, labels)
+
+
+#: Rules that hold before any mined one.
+URL_RULES = (
+    url_rules.Rule("allow", "com", "/"),
+    url_rules.Rule("block", "example.com", "/en/"),
+    url_rules.Rule("allow", "www.example.com", "/en/"),
+    url_rules.Rule("block", "net", "/es/"),
+    url_rules.Rule("block", "net", "/fr/"),
+)
+
+
+def op4_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of bad quality, or toxic ones, are what the mined rules look for."""
+    labels = table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("page_id"),
+        ((F.col("quality") == 0) | (F.col("toxic") == 1)).alias("bad"),
+    )
+    return url_rules.judged(table(spark, sf_dir, "pages"), labels, URL_RULES)
+
+
+def op5_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kinds = contextual_pii.KINDS
+    rows = contextual_pii.with_spans(table(spark, sf_dir, "documents"), "doc_id")
+    return rows.select(
+        "doc_id",
+        *[F.size(kind).cast("long").alias(f"n_{kind}") for kind in kinds],
+        F.sha2(contextual_pii.spans_text(*kinds), 256).alias("base_sha256"),
+        contextual_pii.spans_text(*kinds, contextual_pii.FOUND).alias("spans"),
+    )
+
+
 def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     groups = stream_dedup.exact_groups(spark, f"{sf_dir}/documents.parquet")
     return groups.select(
@@ -34,6 +80,12 @@ def op6_stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_length_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    lengths = stored(length_buckets.token_counts(docs, WORD_TOKENIZER), "lengths")
+    return length_buckets.packed(lengths)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return byte_bpe.round_trip(docs, BYTE_RANKS, public_tokenizers.PATTERN)
@@ -47,14 +99,25 @@ def op9_simhash_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cross_parse.learned_and_judged(table(spark, sf_dir, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_token_files,
         op2_compression_bands,
+        op3_ftrl_quality,
+        op4_url_rules,
+        op5_contextual_pii,
         op6_stream_dedup,
+        op7_length_buckets,
         op8_byte_bpe,
         op9_simhash_bytes,
+        op10_cross_parse,
     )
 }
 
