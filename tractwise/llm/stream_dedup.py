@@ -31,7 +31,15 @@ from pyspark.sql.functions import pandas_udf
 
 from tractwise.llm.common import bounded_batches, shared_folder, stored
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: State on disk, saved as a log of changes; no disk space is reserved ahead of use, as
+#: there is a store in each shuffle partition.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    ),
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 DIGESTS = "doc_id long, locator struct<file:string,row:long>, digest binary"
 STATE = (
@@ -103,9 +111,9 @@ def stream_digests(
 def stream_state(spark: SparkSession, digests: str, folder: str, files_per_batch: int) -> str:
     """Step 2: the state after all digests; one row a digest and batch that touched it."""
     out = f"{folder}/state"
-    keys = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(keys)
-    spark.conf.set(keys, ROCKSDB)
+    before = {key: spark.conf.get(key, None) for key in STATE_STORE}
+    for key, value in STATE_STORE.items():
+        spark.conf.set(key, value)
     try:
         stream = (
             spark.readStream.schema(DIGESTS)
@@ -129,7 +137,11 @@ def stream_state(spark: SparkSession, digests: str, folder: str, files_per_batch
             .start()
         )
     finally:
-        spark.conf.set(keys, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
     return out
 
 
