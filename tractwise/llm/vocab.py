@@ -5,25 +5,32 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 
-import numpy as np
-
-#: Words are remembered up to this length and number; beyond that number all are forgotten.
+#: Words are remembered up to this length; this many are kept in each of two generations.
 MEMO_CHARS, MEMO_WORDS = 64, 1 << 18
 
 #: The tokenizer drops white space and merges nothing across it.
 PIECES = re.compile(r"[^ \t\n]+")
 
+#: A plain word and the signs behind it; the tokenizer cuts between the two.
+PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+
 END_ID = 1
 
 
+def packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that treats pieces between blanks on their own.
 
     Ids come as little-endian unsigned 32-bit integers in bytes. The tokenizer sees
     each piece once; a piece gives the same ids alone and inside a text, as the
     tokenizer drops white space, normalises no blank into a neighbour and has no rule
-    across it.
+    across it. A plain ASCII word needs no more than lower case before the library's
+    merges, so it goes to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
@@ -32,22 +39,41 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _encode(self, piece: str) -> bytes:
+        return packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+
+    def _piece(self, piece: str) -> bytes:
+        known = self.older.get(piece)
+        if known is not None:
+            return known
+        plain = PLAIN.fullmatch(piece)
+        if plain is None:
+            return self._encode(piece)
+        word, signs = plain.groups()
+        ids = packed([token.id for token in self.model.tokenize(word.lower())])
+        if not signs:
+            return ids
+        tail = self.memo.get(signs)
+        if tail is None:
+            tail = self._encode(signs)
+        return ids + tail
 
     def encode(self, text: str | None) -> bytes:
         pieces = PIECES.findall(text or "")
         memo = self.memo
         missing = [piece for piece in set(pieces) if piece not in memo]
-        if missing:
-            found = self.tokenizer.encode_batch_fast(missing, add_special_tokens=False)
-            for piece, encoding in zip(missing, found, strict=True):
-                memo[piece] = np.array(encoding.ids, "<u4").tobytes()
+        for piece in missing:
+            memo[piece] = self._piece(piece)
         ids = b"".join(map(memo.__getitem__, pieces))
         for piece in missing:
             if len(piece) > MEMO_CHARS:
                 del memo[piece]
         if len(memo) > MEMO_WORDS:
-            memo.clear()
+            self.older, self.memo = memo, {}
         return ids
 
 
