@@ -174,7 +174,10 @@ def exact_groups(
     digests = stream_digests(
         spark, documents, folder, digest_bytes, trigger or {"availableNow": True}
     )
-    state = final_state(spark, stream_state(spark, digests, folder, files_per_batch))
+    # both sides of each join have a shuffle of their own, so that Spark can split a hot digest
+    state = stored(
+        final_state(spark, stream_state(spark, digests, folder, files_per_batch)), "state"
+    )
     rows = spark.read.schema(DIGESTS).parquet(digests)
     grouped = stored(rows.join(state, "digest"), "grouped")
 
@@ -184,10 +187,11 @@ def exact_groups(
         "locator", normalised_bytes()("text").alias("bytes")
     )
     hits = several.join(texts, "locator")
-    clashing = (
+    clashing = stored(
         hits.groupBy("digest")
         .agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
-        .select("digest", (F.col("least") != F.col("greatest")).alias("clash"))
+        .select("digest", (F.col("least") != F.col("greatest")).alias("clash")),
+        "clashing",
     )
     checked = stored(several.join(clashing, "digest"), "checked")
     columns = ["doc_id", "locator", "digest", "keeper", "group_size"]
