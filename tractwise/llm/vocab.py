@@ -7,14 +7,20 @@ import os
 import re
 import struct
 
+import numpy as np
+
 #: Words are remembered up to this length; this many are kept in each of two generations.
 MEMO_CHARS, MEMO_WORDS = 64, 1 << 18
 
 #: The tokenizer drops white space and merges nothing across it.
 PIECES = re.compile(r"[^ \t\n]+")
 
-#: A plain word and the signs behind it; the tokenizer cuts between the two.
-PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+#: A plain word of Latin-1 letters and the signs behind it; the tokenizer cuts between them.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?]*)")
+
+#: A special token of the tokenizer, and what all its special tokens begin with.
+SEPARATOR, SPECIAL = "<|endoftext|>", "<|"
 
 END_ID = 1
 
@@ -29,45 +35,62 @@ class WordEncoder:
     Ids come as little-endian unsigned 32-bit integers in bytes. The tokenizer sees
     each piece once; a piece gives the same ids alone and inside a text, as the
     tokenizer drops white space, normalises no blank into a neighbour and has no rule
-    across it. A plain ASCII word needs no more than lower case before the library's
-    merges, so it goes to the tokenizer's model at once.
+    across it. A plain word needs no more than lower case before the library's merges, so
+    it goes to the tokenizer's model at once.
     """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model = self.tokenizer.model
+        # the model takes bytes as signs; ASCII stands for itself
+        level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        latin = re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x80, 0x100))))
+        self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in latin}
+        #: The same tokenizer, which takes special tokens in a text as such.
+        self.splitting = Tokenizer.from_file(path)
+        self.separator = self.splitting.token_to_id(SEPARATOR)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _encode(self, piece: str) -> bytes:
-        return packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
-
-    def _piece(self, piece: str) -> bytes:
-        known = self.older.get(piece)
-        if known is not None:
-            return known
-        plain = PLAIN.fullmatch(piece)
-        if plain is None:
-            return self._encode(piece)
-        word, signs = plain.groups()
-        ids = packed([token.id for token in self.model.tokenize(word.lower())])
-        if not signs:
-            return ids
-        tail = self.memo.get(signs)
-        if tail is None:
-            tail = self._encode(signs)
-        return ids + tail
+    def _separate(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces by one call: special tokens between them are cut out first, so
+        each piece is a text of its own to the tokenizer."""
+        ids = np.array(self.splitting.encode(SEPARATOR.join(pieces)).ids, "<u4")
+        ends = np.flatnonzero(ids == self.separator).tolist()
+        data = ids.tobytes()
+        starts = [0, *(end + 1 for end in ends)]
+        return [data[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(ids)], strict=True)]
+
+    def _learn(self, missing: set[str]) -> None:
+        """Remember pieces that are not known yet."""
+        memo, older, rest = self.memo, self.older, []
+        tokenize, as_bytes = self.model.tokenize, self.as_bytes
+        for piece in missing:
+            known = older.get(piece)
+            if known is not None:
+                memo[piece] = known
+            elif plain := PLAIN.fullmatch(piece):
+                parts = plain.groups() if plain[2] else (piece,)
+                ids = [t.id for part in parts for t in tokenize(part.lower().translate(as_bytes))]
+                memo[piece] = packed(ids)
+            elif SPECIAL in piece:
+                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
+                memo[piece] = packed(ids)
+            else:
+                rest.append(piece)
+        if rest:
+            memo.update(zip(rest, self._separate(rest), strict=True))
 
     def encode(self, text: str | None) -> bytes:
         pieces = PIECES.findall(text or "")
         memo = self.memo
-        missing = [piece for piece in set(pieces) if piece not in memo]
-        for piece in missing:
-            memo[piece] = self._piece(piece)
+        missing = set(pieces).difference(memo)
+        if missing:
+            self._learn(missing)
         ids = b"".join(map(memo.__getitem__, pieces))
         for piece in missing:
             if len(piece) > MEMO_CHARS:
