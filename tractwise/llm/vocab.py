@@ -7,21 +7,13 @@ import os
 import re
 import struct
 
-import numpy as np
-
 #: Words are remembered up to this length; this many are kept in each of two generations.
-MEMO_CHARS, MEMO_WORDS = 64, 1 << 18
-
-#: The tokenizer drops white space and merges nothing across it.
-PIECES = re.compile(r"[^ \t\n]+")
+MEMO_CHARS, MEMO_WORDS = 64, 1 << 19
 
 #: A plain word of Latin-1 letters and the signs behind it; the tokenizer cuts between them.
 LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 PLAIN = re.compile(f"([{LETTERS}]+)([.,;:!?]*)")
 
-#: A special token of the tokenizer, and what all its special tokens begin with.
-SEPARATOR, SPECIAL = "<|endoftext|>", "<|"
-
 END_ID = 1
 
 
@@ -50,21 +42,9 @@ class WordEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         latin = re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x80, 0x100))))
         self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in latin}
-        #: The same tokenizer, which takes special tokens in a text as such.
-        self.splitting = Tokenizer.from_file(path)
-        self.separator = self.splitting.token_to_id(SEPARATOR)
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
-    def _separate(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces by one call: special tokens between them are cut out first, so
-        each piece is a text of its own to the tokenizer."""
-        ids = np.array(self.splitting.encode(SEPARATOR.join(pieces)).ids, "<u4")
-        ends = np.flatnonzero(ids == self.separator).tolist()
-        data = ids.tobytes()
-        starts = [0, *(end + 1 for end in ends)]
-        return [data[4 * a : 4 * b] for a, b in zip(starts, [*ends, len(ids)], strict=True)]
-
     def _learn(self, missing: set[str]) -> None:
         """Remember pieces that are not known yet."""
         memo, older, rest = self.memo, self.older, []
@@ -77,16 +57,15 @@ class WordEncoder:
                 parts = plain.groups() if plain[2] else (piece,)
                 ids = [t.id for part in parts for t in tokenize(part.lower().translate(as_bytes))]
                 memo[piece] = packed(ids)
-            elif SPECIAL in piece:
-                ids = self.tokenizer.encode(piece, add_special_tokens=False).ids
-                memo[piece] = packed(ids)
             else:
                 rest.append(piece)
         if rest:
-            memo.update(zip(rest, self._separate(rest), strict=True))
+            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
+            memo.update(zip(rest, (packed(one.ids) for one in found), strict=True))
 
     def encode(self, text: str | None) -> bytes:
-        pieces = PIECES.findall(text or "")
+        # blanks next to each other give empty pieces, which have no ids
+        pieces = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
         memo = self.memo
         missing = set(pieces).difference(memo)
         if missing:
