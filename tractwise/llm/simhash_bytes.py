@@ -176,7 +176,8 @@ def kept_documents(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFr
     (a null one last), and of rows with one id the first as stored."""
     row = "tractwise_row"
     placed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
-    grouped = stored(near_groups(fingerprints(placed, words, (row,)), max_bits), "near")
+    prints = stored(fingerprints(placed, words, (row,)), "fingerprints")
+    grouped = stored(near_groups(prints, max_bits), "near")
     first = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row))
     keepers = grouped.groupBy("root").agg(first.alias(row))
     return placed.join(keepers.select(row), row, "left_semi").select(*docs.columns)
