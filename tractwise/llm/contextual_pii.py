@@ -308,13 +308,11 @@ def with_spans(docs: DataFrame, *keep: str, bootstrap: Bootstrap = Bootstrap())
 
 def spans_text(*kinds: str) -> Column:
     """kind:start:end of all spans, joined by commas."""
-    named = [
-        F.transform(
-            kind, lambda s, kind=kind: F.concat_ws(":", F.lit(kind), s["start"], s["stop"])
-        )
-        for kind in kinds
-    ]
-    return F.array_join(F.concat(*named), ",")
+
+    def named(kind: str) -> Column:
+        return F.transform(kind, lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["stop"]))
+
+    return F.array_join(F.concat(*map(named, kinds)), ",")
 
 
 def redacted(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
@@ -322,16 +320,16 @@ def redacted(docs: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
     ``n_chars`` counted anew. Spans that overlap are one; its kind is that of the first."""
     packed = docs.select("text", F.struct("*").alias("document"))
     rows = with_spans(packed, "document", bootstrap=bootstrap)
-    tagged = [
-        F.transform(
+
+    def tagged(kind: str) -> Column:
+        return F.transform(
             kind,
-            lambda s, kind=kind: F.struct(
+            lambda s: F.struct(
                 s["start"].alias("start"), s["stop"].alias("stop"), F.lit(kind).alias("kind")
             ),
         )
-        for kind in (*KINDS, FOUND)
-    ]
-    spans = F.array_sort(F.concat(*tagged))
+
+    spans = F.array_sort(F.concat(*map(tagged, (*KINDS, FOUND))))
     text = F.col("document.text")
 
     def step(done: Column, span: Column) -> Column:
