@@ -36,15 +36,16 @@ class Bands:
     ``highest`` hold for each class. A chunk is out of band beyond ``chunk_lowest`` or
     ``chunk_highest``; a last chunk of less than half a chunk joins the one before.
     More than ``chunk_share`` of chunks out of band reject the text. The limits are
-    some 4 % above the highest ratios of texts labelled good, see the README.
+    some 4 % above the highest ratios of texts labelled good, and above the 1.33 of random
+    base64; see the README.
     """
 
     level: int = 3
     sizes: tuple[int, ...] = (0, 256, 1024, 4096, 16384, 65536)
-    lowest: tuple[float, ...] = (0.0, 1.15, 1.25, 1.3, 1.3, 1.3)
+    lowest: tuple[float, ...] = (0.0, 1.2, 1.4, 1.5, 1.5, 1.5)
     highest: tuple[float, ...] = (2.0, 2.1, 2.3, 2.5, 2.65, 2.8)
     chunk_bytes: int = 1024
-    chunk_lowest: float = 1.15
+    chunk_lowest: float = 1.35
     chunk_highest: float = 2.05
     chunk_share: float = 0.3
 
