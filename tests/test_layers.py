@@ -152,6 +152,26 @@ def test_publish(spark, inputs, tmp_path):
     assert sorted(line["properties"]["geoid"] for line in lines) == ["250173831011", "250173831012"]
 
 
+def test_publish_again_leaves_nothing_of_the_first_run(spark, inputs, tmp_path):
+    root = str(tmp_path)
+    tractwise.publish(*inputs, root=root, run_date=date(2024, 1, 1))
+    tractwise.publish(*inputs, root=root, run_date=TODAY)
+    tractwise.publish(*inputs, root=root, run_date=TODAY, min_patrons=10**6)
+    for name in ("stats", "dual", "metrics"):
+        days = {path.name for path in Path(root, name).glob("library=*/run_date=*")}
+        assert days == {"run_date=2024-01-01"}, name
+    for name in ("cardholder", "features"):
+        assert not list(Path(root, name).glob("library=*")), name
+
+
+def test_publish_counts_a_repeated_boundary_like_map_layer(spark, inputs, tmp_path):
+    tables, catalogue, boundary, population = inputs
+    twice = boundary.union(boundary)
+    tractwise.publish(tables, catalogue, twice, population, root=str(tmp_path), run_date=TODAY)
+    cardholder = spark.read.parquet(f"{tmp_path}/cardholder").count()
+    assert cardholder == spark.read.text(f"{tmp_path}/features").count() == 4
+
+
 def test_publish_rejects_unknown_outputs(inputs, tmp_path):
     with pytest.raises(ValueError, match="unknown outputs"):
         tractwise.publish(*inputs, root=str(tmp_path), run_date=TODAY, outputs=("poster",))

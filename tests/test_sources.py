@@ -18,8 +18,8 @@ def test_population_keeps_leading_zeros_and_reads_by_name(spark, tmp_path):
     )
     rows = [tuple(row) for row in files.read_population(spark, str(path)).collect()]
     assert rows == [
-        ("010017383101", "Block Group 1, Tract 1", 812),
-        ("250173831012", "Block Group 2, Tract 1", None),
+        ("010017383101", "Block Group 1, Tract 1", 812, "x"),
+        ("250173831012", "Block Group 2, Tract 1", None, None),
     ]
 
 
@@ -41,6 +41,11 @@ def test_boundary_features(spark, tmp_path):
         ("010017383101", "5", '{"type":"Point","coordinates":[-71.5,42.25]}'),
         ("250173831012", None, None),
     ]
+    every = files.read_boundary_features(spark, str(path))
+    assert every.columns == ["aland", "geoid", "geometry_json"]
+    assert [row.aland for row in every.collect()] == ["5", None]
+    typed = files.read_boundary_features(spark, str(path), "GEOID STRING, ALAND BIGINT")
+    assert [row.aland for row in typed.collect()] == [5, None]
 
 
 def test_tract_list():
@@ -58,6 +63,23 @@ def test_catalogue_file(spark, tmp_path):
     ]
 
 
+def test_catalogue_file_takes_blanks_commas_and_quotes(spark, tmp_path):
+    path = tmp_path / "areas.csv"
+    path.write_text(
+        "library,tracts,lat,lon,zoom\nA,\"383101,383102\",,,\nB,\"'383101', '383102'\",,,\n"
+        "C,  ,,,\nD,,,,\n"
+    )
+    read = catalogue.read_catalogue(spark, str(path)).orderBy("library").collect()
+    both = ["383101", "383102"]
+    assert [row.tracts for row in read] == [both, both, [], []]
+
+
+def test_map_views_choose_the_least_given_view(spark):
+    several = [("N", [], 2.0, 1.0, 9), ("N", [], None, None, None), ("N", [], 1.0, 5.0, 3)]
+    built = tractwise.catalogue_of(spark, several)
+    assert [tuple(row) for row in catalogue.map_views(built).collect()] == [("N", 1.0, 5.0, 3)]
+
+
 def test_catalogue_from_calls(spark):
     built = tractwise.catalogue_of(
         spark, [("North", "'383101','383102'", 42.25, -71.5, 11), ("South", ["980000"])]

@@ -72,22 +72,17 @@ def test_rollup_equals_plain_python(spark):
         assert [tuple(row)[1:] for row in found if row.level == level] == expected
 
 
-def test_few_patrons_are_broadcast_with_equal_result(spark, tmp_path):
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(str(tmp_path))
+def test_stored_patrons_give_equal_results(spark, tmp_path):
     data = small.random_data(4, hot=True)
     tables = small.tables(spark, data)
     expected = brute.stats(data, TODAY, {"383101"})
-    small_enough = tractwise.patron_stats(tables, ["383101"], TODAY, broadcast_up_to=1000)
-    too_many = tractwise.patron_stats(tables, ["383101"], TODAY, broadcast_up_to=1)
-    assert rows(small_enough) == expected
-    assert rows(too_many) == expected
+    reduced = tractwise.patron_stats(tables, ["383101"], TODAY, store_at=f"{tmp_path}/one")
+    assert rows(reduced) == expected
     catalogue = tractwise.catalogue_of(spark, [("North", ["383101"])])
-    library = tractwise.library_stats(tables, catalogue, TODAY, broadcast_up_to=1000)
+    library = tractwise.library_stats(tables, catalogue, TODAY, store_at=f"{tmp_path}/all")
     assert [tuple(row)[1:] for row in library.collect()] == expected
-    plan = small_enough._jdf.queryExecution().optimizedPlan().toString()
-    assert "LeftSemi" in plan
-    assert "LeftSemi" not in too_many._jdf.queryExecution().optimizedPlan().toString()
+    plan = reduced._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LeftSemi") == 4 and "strategy=broadcast" not in plan
 
 
 def test_unique_holds_equal_distinct_holds(spark):

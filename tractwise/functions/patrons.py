@@ -19,8 +19,19 @@ def as_of_date(as_of: date | str | Column | None = None) -> Column:
 
 
 def age_in_years(birth: Column, as_of: Column) -> Column:
-    """Completed calendar years; someone born on 29 February ages on 1 March."""
-    return F.timestamp_diff("YEAR", F.to_date(birth), as_of).cast("int")
+    """Completed calendar years; someone born on 29 February ages on 1 March.
+
+    Calendar fields only, so no time zone matters. Of a birth to come, years left.
+    """
+    born = F.to_date(birth)
+    months = 12 * (F.year(as_of) - F.year(born)) + F.month(as_of) - F.month(born)
+    days = F.day(as_of) - F.day(born)
+    full = (
+        F.when((months > 0) & (days < 0), months - 1)
+        .when((months < 0) & (days > 0), months + 1)
+        .otherwise(months)
+    )
+    return (full / 12).cast("int")
 
 
 def within_last_year(moment: Column, as_of: Column) -> Column:

@@ -101,7 +101,9 @@ def geojson_features(layer: DataFrame) -> DataFrame:
     names = [name for name in layer.columns if name not in ("library", "geometry_json")]
     properties = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
     feature = F.concat(
-        F.lit('{"type":"Feature","properties":'),
+        F.lit('{"type":"Feature","id":"'),
+        F.col("geoid"),
+        F.lit('","properties":'),
         properties,
         F.lit(',"geometry":'),
         F.coalesce("geometry_json", F.lit("null")),

@@ -14,6 +14,11 @@ from tractwise.sources.tables import PatronTables
 LAYERS = ("cardholder", "dual", "metrics", "features")
 
 
+def library_names(catalogue: DataFrame) -> list[str]:
+    """Libraries of a catalogue; a catalogue is as small as the number of libraries."""
+    return [row.library for row in catalogue.select("library").distinct().collect() if row.library]
+
+
 def store_stats(
     tables: PatronTables,
     catalogue: DataFrame,
@@ -27,8 +32,9 @@ def store_stats(
     runs the report again when it is written or when executors are lost.
     """
     stats = library_stats(tables, catalogue, as_of=run_date, min_patrons=min_patrons)
-    writers.write_dated(stats, path, run_date)
     spark = stats.sparkSession
+    writers.clear(spark, path, library_names(catalogue), run_date)
+    writers.write_dated(stats, path, run_date)
     stored = spark.read.schema(
         ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in stats.schema)
         + ", run_date DATE"
@@ -59,9 +65,14 @@ def publish(
     if unknown:
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
     stats = store_stats(tables, catalogue, f"{root}/stats", run_date, min_patrons)
+    # as in map_layer, a boundary that occurs twice makes two rows
     valued = layers.with_population(stats, population).join(
-        layers.lower_names(boundary).select("geoid").distinct(), "geoid", "left_semi"
+        layers.lower_names(boundary).select("geoid"), "geoid"
     )
+    names = library_names(catalogue)
+    for output in outputs:
+        day = run_date if output in ("dual", "metrics") else None
+        writers.clear(stats.sparkSession, f"{root}/{output}", names, day)
     if "cardholder" in outputs:
         single = layers.with_view(layers.cardholder_layer(valued), catalogue)
         writers.write_current(single, f"{root}/cardholder")

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from tractwise.functions import codes, fixed, numbers, patrons
 from tractwise.operators import areas, facts
-from tractwise.plans.durable import checkpointed
 from tractwise.sources.catalogue import service_area_tracts
 from tractwise.sources.tables import PatronTables
 
@@ -22,23 +21,22 @@ def patron_stats(
     as_of: Day = None,
     level: str = "block_group",
     min_patrons: int | None = None,
-    broadcast_up_to: int | None = None,
+    store_at: str | None = None,
 ) -> DataFrame:
     """Statistics of the areas in ``tracts`` (all areas when left out).
 
     Areas with fewer than ``min_patrons`` cardholders are dropped. Sorted by
     cardholders, most first.
 
-    For a few tracts of very large tables give ``broadcast_up_to``. The cardholders
-    of the tracts are then stored in the session's checkpoint directory and counted.
-    If there are no more than that, the other tables are reduced to them where they
-    are read, and nothing large is shuffled; else the plan is the usual one.
+    For a few tracts of very large tables give ``store_at``, a path on shared storage.
+    The cardholders of the tracts are stored there and the other tables are reduced to
+    them before anything is counted. Spark chooses the joins by the size of the files.
     """
     coded = areas.census_fields(tables.varfield)
     if tracts is not None:
         coded = areas.in_tracts(coded, tracts)
     located = areas.patron_areas(coded, [], level)
-    rows = _patron_rows(*_reduced(located, tables, broadcast_up_to), as_of)
+    rows = _patron_rows(*_reduced(located, tables, store_at), as_of)
     return _report(_totals(rows, []), [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
@@ -48,7 +46,7 @@ def library_stats(
     as_of: Day = None,
     level: str = "block_group",
     min_patrons: int | None = None,
-    broadcast_up_to: int | None = None,
+    store_at: str | None = None,
 ) -> DataFrame:
     """``patron_stats`` of every library of a catalogue in one job."""
     keys = ["library"]
@@ -56,7 +54,7 @@ def library_stats(
         areas.census_fields(tables.varfield), service_area_tracts(catalogue)
     )
     located = areas.patron_areas(coded, keys, level)
-    rows = _patron_rows(*_reduced(located, tables, broadcast_up_to), as_of)
+    rows = _patron_rows(*_reduced(located, tables, store_at), as_of)
     return _report(_totals(rows, keys), keys, codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
@@ -149,14 +147,13 @@ def patron_stats_direct(
 
 
 def _reduced(
-    patron_areas: DataFrame, tables: PatronTables, broadcast_up_to: int | None
+    patron_areas: DataFrame, tables: PatronTables, store_at: str | None
 ) -> tuple[DataFrame, PatronTables]:
-    """Patron areas, and the tables cut down to their patrons if these are few."""
-    if broadcast_up_to is None:
+    """Patron areas; if they are stored, reread, with the tables cut down to their patrons."""
+    if store_at is None:
         return patron_areas, tables
-    stored = checkpointed(patron_areas)
-    if stored.count() > broadcast_up_to:
-        return stored, tables
+    patron_areas.write.mode("overwrite").parquet(store_at)
+    stored = patron_areas.sparkSession.read.schema(patron_areas.schema).parquet(store_at)
     return stored, tables.of_patrons(stored)
 
 

@@ -1,14 +1,15 @@
 """Partitioned outputs.
 
-A rerun replaces the partitions that it writes. A library that has no rows any more
-is not written, and keeps what it had.
+A run owns the partitions of the libraries it is about: ``clear`` removes them before
+they are written, so a library without rows in this run keeps nothing of an earlier one.
+Other libraries and days stay. A run that fails between the two is to be run again.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _write(frame: DataFrame, path: str, partitions: list[str], form: str) -> None:
@@ -24,6 +25,20 @@ def _write(frame: DataFrame, path: str, partitions: list[str], form: str) -> Non
     )
 
 
+def clear(spark: SparkSession, path: str, libraries: list[str], run_date: date | None) -> None:
+    """Remove the partitions of libraries, of one day if given."""
+    jvm = spark._jvm
+    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
+    for library in libraries:
+        folder = f"{path.rstrip('/')}/library={escape(library)}"
+        if run_date is not None:
+            folder = f"{folder}/run_date={run_date}"
+        place = jvm.org.apache.hadoop.fs.Path(folder)
+        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        if system.exists(place):
+            system.delete(place, True)
+
+
 def write_dated(frame: DataFrame, path: str, run_date: date, form: str = "parquet") -> None:
     """One partition per library and day; the same day's rerun replaces it."""
     _write(

@@ -6,7 +6,7 @@ import re
 from collections.abc import Iterable
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CATALOGUE_SCHEMA = pa.schema(
     [
@@ -26,11 +26,20 @@ def tract_list(tracts: str | Iterable[str]) -> list[str]:
     return sorted({str(tract) for tract in tracts})
 
 
+def _tract_array(text: Column) -> Column:
+    """``tract_list`` of a text column."""
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"\w+"), F.lit(0))
+    return F.array_sort(F.array_distinct(found))
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """Catalogue CSV: ``library,tracts,lat,lon,zoom``, tracts separated by blanks."""
+    """Catalogue CSV: ``library,tracts,lat,lon,zoom``, tracts as in ``tract_list``.
+
+    Blanks, commas and quotes separate tracts; a cell without any is an empty list.
+    """
     raw = spark.read.schema("library STRING, tracts STRING, lat DOUBLE, lon DOUBLE, zoom INT")
     rows = raw.option("header", True).option("enforceSchema", False).csv(path)
-    return rows.withColumn("tracts", F.split(F.trim("tracts"), r"\s+"))
+    return rows.withColumn("tracts", _tract_array(F.col("tracts")))
 
 
 def catalogue_of(spark: SparkSession, libraries: Iterable[tuple]) -> DataFrame:
@@ -54,5 +63,11 @@ def service_area_tracts(catalogue: DataFrame) -> DataFrame:
 
 
 def map_views(catalogue: DataFrame) -> DataFrame:
-    """Map centre and zoom per library."""
-    return catalogue.select("library", "lat", "lon", "zoom").dropDuplicates(["library"])
+    """Map centre and zoom per library; of several the least one that is not all NULL."""
+    view = F.struct("lat", "lon", "zoom")
+    given = F.coalesce("lat", "lon", "zoom").isNotNull()
+    return (
+        catalogue.groupBy("library")
+        .agg(F.min(F.when(given, view)).alias("view"))
+        .select("library", "view.lat", "view.lon", "view.zoom")
+    )

@@ -14,10 +14,12 @@ def lower_names(frame: DataFrame) -> DataFrame:
 
 def read_population(spark: SparkSession, path: str) -> DataFrame:
     """Population CSV with a header. Columns go by name and nothing is inferred,
-    so area ids keep their leading zeros."""
+    so area ids keep their leading zeros. Undeclared columns stay as text."""
     raw = spark.read.option("header", True).csv(path)
+    declared = POPULATION.fieldNames()
     return raw.select(
-        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in POPULATION]
+        *[F.col(field.name).cast(field.dataType).alias(field.name) for field in POPULATION],
+        *[F.col(f"`{name}`") for name in raw.columns if name not in declared],
     )
 
 
@@ -28,17 +30,23 @@ def read_boundary_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_boundary_features(
-    spark: SparkSession, path: str, properties: tuple[str, ...] = ("GEOID",)
+    spark: SparkSession, path: str, properties: tuple[str, ...] | str | None = None
 ) -> DataFrame:
     """Boundaries from line-delimited GeoJSON (EPSG:4326), one feature per line.
 
-    The named properties become lower-case text columns; the geometry stays text.
+    Properties become lower-case columns: text columns from a tuple of names, typed ones
+    from a schema text such as ``"GEOID STRING, ALAND BIGINT"``. Left out, all properties
+    that occur in the file become text columns, for which their names are read first. The
+    geometry stays text.
     """
     lines = spark.read.text(path)
-    names = F.from_json(
-        F.get_json_object("value", "$.properties"),
-        ", ".join(f"`{name}` STRING" for name in properties),
-    )
+    text = F.get_json_object("value", "$.properties")
+    if properties is None:
+        keys = lines.select(F.explode(F.json_object_keys(text)).alias("name")).distinct()
+        properties = tuple(row.name for row in keys.orderBy("name").collect())
+    if not isinstance(properties, str):
+        properties = ", ".join(f"`{name}` STRING" for name in properties)
+    names = F.from_json(text, properties)
     return lower_names(
         lines.select(
             names.alias("p"), F.get_json_object("value", "$.geometry").alias("geometry_json")

@@ -26,11 +26,8 @@ class PatronTables:
     unique_holds: bool = False
 
     def of_patrons(self, patrons: DataFrame) -> PatronTables:
-        """The rows of some patrons (``id``), few enough to be broadcast.
-
-        The caller has counted them. ``varfield`` stays whole.
-        """
-        few = F.broadcast(patrons.select(F.col("id").alias("few_id")).distinct())
+        """The rows of some patrons (``id``). ``varfield`` stays whole."""
+        few = patrons.select(F.col("id").alias("few_id")).distinct()
         kept = {
             name: frame.join(few, frame[TABLES[name][1]] == F.col("few_id"), "left_semi")
             for name, frame in (
@@ -43,23 +40,29 @@ class PatronTables:
         return replace(self, **kept)
 
 
-def parquet_tables(spark: SparkSession, root: str) -> PatronTables:
+def parquet_tables(
+    spark: SparkSession, root: str, unique_holds: bool = False
+) -> PatronTables:
     """Read ``root/<table>`` parquet directories under the declared schemas."""
     return PatronTables(
         **{
             name: spark.read.schema(schema).parquet(f"{root}/{name}")
             for name, (schema, _) in TABLES.items()
-        }
+        },
+        unique_holds=unique_holds,
     )
 
 
-def catalog_tables(spark: SparkSession, database: str) -> PatronTables:
+def catalog_tables(
+    spark: SparkSession, database: str, unique_holds: bool = False
+) -> PatronTables:
     """Read the tables of a catalog database, for example bucketed ones."""
     return PatronTables(
         **{
             name: spark.table(f"{database}.{name}").select(*schema.fieldNames())
             for name, (schema, _) in TABLES.items()
-        }
+        },
+        unique_holds=unique_holds,
     )
 
 
@@ -69,20 +72,32 @@ def jdbc_tables(
     schema_name: str,
     bounds: Mapping[str, tuple[int, int]],
     num_partitions: int,
+    partition_columns: Mapping[str, str] | None = None,
+    unique_holds: bool = False,
     **options: str,
 ) -> PatronTables:
-    """Read the tables from PostgreSQL in ``num_partitions`` key ranges each.
+    """Read the tables from PostgreSQL in ``num_partitions`` ranges each.
 
-    ``bounds`` gives the lowest and highest patron key per table. They only set
-    the stride: rows outside still fall into the first and last range.
+    Holds are cut by their own ``id``, so one patron's holds are not one range; the
+    other tables by patron, unless ``partition_columns`` names another column, which
+    need not be one of the columns read. ``bounds`` gives the lowest and highest value
+    of that column per table. They only set the stride: rows outside still fall into
+    the first and last range.
     """
+    columns = {"hold": "id", **(partition_columns or {})}
     frames = {}
     for name, (schema, key) in TABLES.items():
         reader = jdbc_reader(
-            spark, url, f"{schema_name}.{name}", key, bounds[name], num_partitions, **options
+            spark,
+            url,
+            f"{schema_name}.{name}",
+            columns.get(name, key),
+            bounds[name],
+            num_partitions,
+            **options,
         )
         frames[name] = reader.load().select(*schema.fieldNames())
-    return PatronTables(**frames)
+    return PatronTables(**frames, unique_holds=unique_holds)
 
 
 def save_bucketed(tables: PatronTables, database: str, buckets: int) -> None:

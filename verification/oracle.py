@@ -219,7 +219,7 @@ ORACLE: dict[str, str] = {
     ),
     "metric_long": _with(_METRICS, **_LAYER),
     "geojson_features": _with(
-        """SELECT library, geoid, '{"type":"Feature","properties":' || CAST(json_object("""
+        """SELECT library, geoid, '{"type":"Feature","id":"' || geoid || '","properties":' || CAST(json_object("""
         + ", ".join(f"'{name}', {name}" for name in _PROPERTIES)
         + """) AS VARCHAR) || ',"geometry":' || geometry_json || '}' AS feature FROM layer""",
         **_LAYER,
