@@ -6,6 +6,7 @@ import functools
 import os
 import re
 import struct
+from collections.abc import Callable
 
 #: Words are remembered up to this length; this many are kept in each of two generations.
 MEMO_CHARS, MEMO_WORDS = 64, 1 << 19
@@ -21,6 +22,20 @@ def packed(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+class Memo(dict):
+    """Ids by piece; asks for those it lacks and keeps them unless the piece is long."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.ids_of(piece)
+        if len(piece) <= MEMO_CHARS:
+            self[piece] = ids
+        return ids
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that treats pieces between blanks on their own.
 
@@ -42,40 +57,27 @@ class WordEncoder:
         level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         latin = re.findall(f"[{LETTERS}]", "".join(map(chr, range(0x80, 0x100))))
         self.as_bytes = {ord(c): level.pre_tokenize_str(c)[0][0] for c in latin}
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo(self._ids)
         self.older: dict[str, bytes] = {}
 
-    def _learn(self, missing: set[str]) -> None:
-        """Remember pieces that are not known yet."""
-        memo, older, rest = self.memo, self.older, []
+    def _ids(self, piece: str) -> bytes:
+        """Ids of a piece that is not in the newer generation."""
+        known = self.older.get(piece)
+        if known is not None:
+            return known
+        plain = PLAIN.fullmatch(piece)
+        if plain is None:
+            return packed(self.tokenizer.encode(piece, add_special_tokens=False).ids)
+        parts = plain.groups() if plain[2] else (piece,)
         tokenize, as_bytes = self.model.tokenize, self.as_bytes
-        for piece in missing:
-            known = older.get(piece)
-            if known is not None:
-                memo[piece] = known
-            elif plain := PLAIN.fullmatch(piece):
-                parts = plain.groups() if plain[2] else (piece,)
-                ids = [t.id for part in parts for t in tokenize(part.lower().translate(as_bytes))]
-                memo[piece] = packed(ids)
-            else:
-                rest.append(piece)
-        if rest:
-            found = self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)
-            memo.update(zip(rest, (packed(one.ids) for one in found), strict=True))
+        return packed([t.id for part in parts for t in tokenize(part.lower().translate(as_bytes))])
 
     def encode(self, text: str | None) -> bytes:
         # blanks next to each other give empty pieces, which have no ids
         pieces = (text or "").replace("\n", " ").replace("\t", " ").split(" ")
-        memo = self.memo
-        missing = set(pieces).difference(memo)
-        if missing:
-            self._learn(missing)
-        ids = b"".join(map(memo.__getitem__, pieces))
-        for piece in missing:
-            if len(piece) > MEMO_CHARS:
-                del memo[piece]
-        if len(memo) > MEMO_WORDS:
-            self.older, self.memo = memo, {}
+        ids = b"".join(map(self.memo.__getitem__, pieces))
+        if len(self.memo) > MEMO_WORDS:
+            self.older, self.memo = self.memo, Memo(self._ids)
         return ids
 
 
