@@ -118,17 +118,18 @@ class Parser:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [language for language, _ in samples]
         self.alphabet = Alphabet(text for _, text in samples)
-        tables, self.roots, sizes, at = [], [], [], 0
+        tables, self.begins, sizes, at = [], [], [], 0
         for _, text in samples:
             codes = self.alphabet.codes(text).tolist()
-            table = suffix_automaton(codes)
-            start = table[0].copy()
+            # the last state has no steps: every character begins a phrase there
+            table = np.pad(suffix_automaton(codes), ((0, 1), (0, 0)), constant_values=-1)
+            none, start = len(table) - 1, table[0]
             # a character the language lacks is a phrase of its own
-            restart = np.where(start >= 0, start, 0) + at
+            restart = np.where(start >= 0, start, none) + at
             full = np.where(table >= 0, table + at, restart[None, :]) * ALPHABET
             full = np.where(table >= 0, full, full | START)
             tables.append(full.astype(np.int32))
-            self.roots.append(at * ALPHABET)
+            self.begins.append((at + none) * ALPHABET)
             sizes.append(max(2, len(codes)))
             at += len(table)
         self.table = np.concatenate(tables).ravel()
@@ -146,9 +147,9 @@ class Parser:
                 codes[: lengths[lane], lane] = blocks[i]
             # blocks are in descending order of length, so those still running come first
             running = len(chosen) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
-            for column, root in enumerate(self.roots):
-                state = np.full(len(chosen), root, np.int32)
-                found = np.ones(len(chosen), np.int32)
+            for column, begin in enumerate(self.begins):
+                state = np.full(len(chosen), begin, np.int32)
+                found = np.zeros(len(chosen), np.int32)
                 for step, n in enumerate(running.tolist()):
                     value = self.table.take(state[:n] + codes[step, :n])
                     found[:n] += value >= START
