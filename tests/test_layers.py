@@ -1,6 +1,7 @@
 """Layers, sinks and whole jobs."""
 
 import json
+from dataclasses import replace
 from datetime import date
 from pathlib import Path
 
@@ -191,3 +192,24 @@ def test_view_is_null_where_the_catalogue_has_none(inputs, layer):
     rows = layers.with_view(tractwise.cardholder_layer(layer), inputs[1]).collect()
     assert {row.library for row in rows} == {"North"}
     assert {row.lat for row in rows} == {42.25}
+
+
+def test_equal_column_names_get_a_suffix(spark, inputs):
+    tables, catalogue, boundary, population = inputs
+    stats = tractwise.library_stats(tables, catalogue, TODAY)
+    population = population.withColumn("avg_age", F.lit("p")).withColumn("ALAND", F.lit(1))
+    boundary = boundary.withColumn("Avg_Age", F.lit("b")).withColumn("aland", F.lit(2))
+    found = tractwise.map_layer(stats, boundary, population)
+    first = found.first()
+    assert (first.avg_age_population, first.avg_age_boundary) == ("p", "b")
+    assert (first.ALAND, first.aland_boundary) == (1, 2)
+    feature = json.loads(tractwise.geojson_features(found).first().feature)
+    assert {"avg_age", "avg_age_population", "avg_age_boundary"} <= set(feature["properties"])
+
+
+def test_publish_writes_nothing_if_keys_repeat(spark, inputs, tmp_path):
+    tables, *others = inputs
+    twice = replace(tables, patron_record=tables.patron_record.union(tables.patron_record))
+    with pytest.raises(ValueError, match="patron_record"):
+        tractwise.publish(twice, *others, root=f"{tmp_path}/out", run_date=TODAY, check_keys=True)
+    assert not Path(f"{tmp_path}/out").exists()

@@ -75,8 +75,12 @@ def test_rollup_regroups_without_more_shuffles(stored, no_broadcast):
     assert len(all_levels) == len(one)
 
 
-def test_direct_form_is_the_one_that_expands(stored):
-    assert "Expand" in plan_of(tractwise.patron_stats_direct(stored, ["383101"], TODAY))
+def test_direct_form_neither_expands_nor_gathers_raw_holds_by_patron(stored, no_broadcast):
+    plan = plan_of(tractwise.patron_stats_direct(stored, ["383101"], TODAY))
+    assert "Expand" not in plan
+    assert "geoid, hold_id" in exchanges(plan)
+    # holds meet areas by patron and part; by patron alone only counts do
+    assert exchanges(plan).count("id, part") == 2
 
 
 def test_filters_and_columns_reach_the_scans(stored):

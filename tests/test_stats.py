@@ -139,3 +139,17 @@ def test_key_violations(spark):
     )
     found = rows(tractwise.key_violations(small.tables(spark, broken)))
     assert sorted(found) == [("hold", 9, 2), ("patron_record", 1, 2), ("record_metadata", 2, 2)]
+
+
+def test_direct_form_takes_keys_that_repeat(spark):
+    data = small.data(
+        [patron(1, checkouts=10), patron(1, checkouts=5, code="b"), patron(2, checkouts=1)],
+        addresses=[(1, "1"), (1, "1"), (2, "1")],
+        metadata=[(1, datetime(2024, 1, 1)), (2, None), (2, datetime(2020, 1, 1))],
+        holds=[(9, 1), (9, 2), (9, 1), (None, 2), (8, 7)],
+    )
+    [found] = tractwise.patron_stats_direct(small.tables(spark, data), as_of=TODAY).collect()
+    # patron 1: two fields by two addresses by two holds; patron 2: two metadata rows by two holds
+    assert found.total_checkouts == 8 * (10 + 5) + 4 * 1
+    assert (found.total_patrons, found.total_holds_current) == (2, 1)
+    assert (found.total_new_patrons, found.total_blocked_patrons) == (1, 1)

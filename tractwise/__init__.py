@@ -19,6 +19,8 @@ from tractwise.plans.stats import (
 )
 from tractwise.sources.catalogue import catalogue_of, read_catalogue
 from tractwise.sources.files import (
+    parse_boundary_features,
+    parse_population,
     read_boundary_features,
     read_boundary_table,
     read_population,
@@ -44,6 +46,8 @@ __all__ = [
     "map_layer",
     "metric_long",
     "parquet_tables",
+    "parse_boundary_features",
+    "parse_population",
     "patron_stats",
     "patron_stats_direct",
     "publish",

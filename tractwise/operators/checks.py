@@ -35,3 +35,11 @@ def key_violations(tables: PatronTables) -> DataFrame:
         ),
     ]
     return reduce(DataFrame.unionAll, parts)
+
+
+def require_keys(tables: PatronTables) -> None:
+    """Raise ValueError with the number of ``key_violations`` per table, if there are any."""
+    broken = key_violations(tables).groupBy("table").count().orderBy("table").collect()
+    if broken:
+        counts = ", ".join(f"{row['table']} {row['count']}" for row in broken)
+        raise ValueError(f"keys that repeat: {counts}; see key_violations")

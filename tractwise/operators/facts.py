@@ -34,6 +34,30 @@ def patron_creation(record_metadata: DataFrame, as_of: Column) -> DataFrame:
     )
 
 
+def summed_measures(patron_record: DataFrame, as_of: Column) -> DataFrame:
+    """``patron_measures`` with one row per patron key, however often a key occurs.
+
+    ``known_ages`` is the number of rows whose age is known; flags hold if any row's does.
+    """
+    rows = patron_measures(patron_record, as_of)
+    figures = ("checkout_total", "renewal_total", "circ", "checkout_count", "age")
+    return rows.groupBy("id").agg(
+        *[F.sum(name).alias(name) for name in figures],
+        F.count("age").alias("known_ages"),
+        F.bool_or("is_active").alias("is_active"),
+        F.bool_or("is_blocked").alias("is_blocked"),
+    )
+
+
+def summed_creation(record_metadata: DataFrame, as_of: Column) -> DataFrame:
+    """``patron_creation`` with one row per key and ``creations``, the rows of the key."""
+    return (
+        patron_creation(record_metadata, as_of)
+        .groupBy("id")
+        .agg(F.count("*").alias("creations"), F.bool_or("is_new").alias("is_new"))
+    )
+
+
 def mailing_addresses(patron_record_address: DataFrame) -> DataFrame:
     """Patron key of every address of the counted type."""
     return patron_record_address.where(
@@ -63,3 +87,12 @@ def hold_counts(hold: DataFrame, unique: bool = False) -> DataFrame:
     return holds.groupBy("id").agg(
         F.count("*").alias("holds"), distinct.alias("distinct_holds")
     )
+
+
+def hold_parts(hold: DataFrame, parts: int) -> DataFrame:
+    """Known holds of known patrons, each patron's dealt over ``parts`` parts by hold."""
+    return hold.where(F.col("id").isNotNull()).select(
+        F.col("patron_record_id").alias("id"),
+        F.col("id").alias("hold_id"),
+        F.pmod(F.hash("id"), F.lit(parts)).alias("part"),
+    )

@@ -15,8 +15,20 @@ def _keys(layer: DataFrame) -> list[str]:
     return [name for name in ("library", "geoid") if name in layer.columns]
 
 
+def _beside(right: DataFrame, taken: list[str], suffix: str) -> DataFrame:
+    """``right`` to be joined by ``geoid``; its columns of ``taken`` names get a suffix."""
+    lower = {name.lower() for name in taken} - {"geoid"}
+    return right.toDF(
+        *[f"{name}_{suffix}" if name.lower() in lower else name for name in right.columns]
+    )
+
+
 def with_population(stats: DataFrame, population: DataFrame) -> DataFrame:
-    """Areas that have a population row, with the cardholder percentage."""
+    """Areas that have a population row, with the cardholder percentage.
+
+    Where both sides have a column, the population's is named ``<name>_population``.
+    """
+    population = _beside(population, [*stats.columns, "pct_cardholders"], "population")
     return stats.join(population, "geoid").withColumn(
         "pct_cardholders",
         numbers.cardholder_percent(F.col("total_patrons"), F.col("estimated_population")),
@@ -26,9 +38,11 @@ def with_population(stats: DataFrame, population: DataFrame) -> DataFrame:
 def map_layer(stats: DataFrame, boundary: DataFrame, population: DataFrame) -> DataFrame:
     """Areas that have a boundary and a population row, under lower-case names.
 
-    The wide boundary text joins last and passes through no aggregate.
+    The wide boundary text joins last and passes through no aggregate. Where both sides
+    have a column, the boundary's is named ``<name>_boundary``.
     """
-    return with_population(stats, population).join(lower_names(boundary), "geoid")
+    valued = with_population(stats, population)
+    return valued.join(_beside(lower_names(boundary), valued.columns, "boundary"), "geoid")
 
 
 def unmatched_areas(stats: DataFrame, boundary: DataFrame, population: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from datetime import date
 from pyspark.sql import DataFrame, functions as F
 
 from tractwise.operators import layers
+from tractwise.operators.checks import require_keys
 from tractwise.plans.stats import library_stats
 from tractwise.sinks import writers
 from tractwise.sources.tables import PatronTables
@@ -55,15 +56,20 @@ def publish(
     run_date: date,
     outputs: tuple[str, ...] = LAYERS,
     min_patrons: int | None = None,
+    check_keys: bool = False,
 ) -> None:
     """Store statistics and layers of every library under ``root``.
 
     ``stats``, ``dual`` and ``metrics`` keep one version per day, ``cardholder``
-    and ``features`` the latest one. ``root`` must be shared storage.
+    and ``features`` the latest one. ``root`` must be shared storage. With
+    ``check_keys`` nothing is written, and ValueError raised, if a key repeats that the
+    statistics take for unique.
     """
     unknown = set(outputs) - set(LAYERS)
     if unknown:
         raise ValueError(f"unknown outputs: {sorted(unknown)}")
+    if check_keys:
+        require_keys(tables)
     stats = store_stats(tables, catalogue, f"{root}/stats", run_date, min_patrons)
     # as in map_layer, a boundary that occurs twice makes two rows
     valued = layers.with_population(stats, population).join(

@@ -14,6 +14,9 @@ from tractwise.sources.tables import PatronTables
 
 Day = date | str | Column | None
 
+#: Parts that the holds of one patron are dealt over before they meet areas.
+HOLD_PARTS = 16
+
 
 def patron_stats(
     tables: PatronTables,
@@ -108,41 +111,54 @@ def patron_stats_direct(
     level: str = "block_group",
     min_patrons: int | None = None,
 ) -> DataFrame:
-    """``patron_stats`` over the joined rows themselves, with distinct counts.
+    """``patron_stats`` of tables whose keys may repeat, as ``key_violations`` tells.
 
-    Needs no unique keys, but shuffles every joined row three times. For checks,
-    and for tables where ``key_violations`` finds something.
+    Rows that share a patron key are summed per table first, so each side has one row
+    per patron, whatever the keys. A hold counts once per area, also under several
+    patrons, so holds are paired with areas and counted in a branch of their own.
     """
     today = patrons.as_of_date(as_of)
     coded = areas.census_fields(tables.varfield)
     if tracts is not None:
         coded = areas.in_tracts(coded, tracts)
-    holds = tables.hold.select(
-        F.col("patron_record_id").alias("id"), F.col("id").alias("hold_id")
-    )
-    joined = (
-        coded.select("id", codes.area_of(F.col("code"), level).alias("geoid"))
-        .join(facts.patron_measures(tables.patron_record, today), "id")
-        .join(facts.mailing_addresses(tables.patron_record_address), "id")
-        .join(facts.patron_creation(tables.record_metadata, today), "id")
-        .join(holds, "id", "left")
+    rows = (
+        areas.patron_areas(coded, [], level)
+        .join(facts.summed_measures(tables.patron_record, today), "id")
+        .join(facts.address_counts(tables.patron_record_address), "id")
+        .join(facts.summed_creation(tables.record_metadata, today), "id")
     )
+    counted = facts.hold_counts(tables.hold, unique=True).select("id", "holds")
+    copies = F.col("fields") * F.col("addresses") * F.coalesce("holds", F.lit(1))
+
+    def weighted(name: str, other: str) -> Column:
+        return F.sum(F.col(name) * F.col(other) * copies)
 
-    def patrons_where(flag: str) -> Column:
-        return F.count_distinct(F.when(F.col(flag), F.col("id")))
-
-    totals = joined.groupBy("geoid").agg(
-        F.count_distinct("id").alias("total_patrons"),
-        F.sum("checkout_total").alias("total_checkouts"),
-        F.sum("renewal_total").alias("total_renewals"),
-        F.sum("circ").alias("total_circ"),
-        F.sum("checkout_count").alias("total_checkouts_current"),
-        F.count_distinct("hold_id").alias("total_holds_current"),
-        F.rint(F.avg("age")).alias("avg_age"),
-        patrons_where("is_new").alias("total_new_patrons"),
-        patrons_where("is_active").alias("total_active_patrons"),
-        patrons_where("is_blocked").alias("total_blocked_patrons"),
+    totals = (
+        rows.join(counted, "id", "left")
+        .groupBy("geoid")
+        .agg(
+            F.count("*").alias("total_patrons"),
+            weighted("checkout_total", "creations").alias("total_checkouts"),
+            weighted("renewal_total", "creations").alias("total_renewals"),
+            weighted("circ", "creations").alias("total_circ"),
+            weighted("checkout_count", "creations").alias("total_checkouts_current"),
+            numbers.whole_mean(
+                weighted("age", "creations"), weighted("known_ages", "creations")
+            ).alias("avg_age"),
+            F.count_if("is_new").alias("total_new_patrons"),
+            F.count_if("is_active").alias("total_active_patrons"),
+            F.count_if("is_blocked").alias("total_blocked_patrons"),
+        )
+    )
+    held = (
+        rows.select("geoid", "id", F.explode(F.sequence(F.lit(0), F.lit(HOLD_PARTS - 1))).alias("part"))
+        .join(facts.hold_parts(tables.hold, HOLD_PARTS), ["id", "part"])
+        .select("geoid", "hold_id")
+        .distinct()
+        .groupBy("geoid")
+        .agg(F.count("*").alias("total_holds_current"))
     )
+    totals = totals.join(held, "geoid", "left").na.fill(0, ["total_holds_current"])
     return _report(totals, [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 

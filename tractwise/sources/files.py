@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tractwise.sources.schemas import POPULATION
@@ -12,10 +14,8 @@ def lower_names(frame: DataFrame) -> DataFrame:
     return frame.toDF(*[name.lower() for name in frame.columns])
 
 
-def read_population(spark: SparkSession, path: str) -> DataFrame:
-    """Population CSV with a header. Columns go by name and nothing is inferred,
-    so area ids keep their leading zeros. Undeclared columns stay as text."""
-    raw = spark.read.option("header", True).csv(path)
+def population_columns(raw: DataFrame) -> DataFrame:
+    """Declared columns of text columns, typed, and all others as they are."""
     declared = POPULATION.fieldNames()
     return raw.select(
         *[F.col(field.name).cast(field.dataType).alias(field.name) for field in POPULATION],
@@ -23,6 +23,18 @@ def read_population(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_population(spark: SparkSession, path: str) -> DataFrame:
+    """Population CSV with a header. Columns go by name and nothing is inferred,
+    so area ids keep their leading zeros. Undeclared columns stay as text."""
+    return population_columns(spark.read.option("header", True).csv(path))
+
+
+def parse_population(lines: DataFrame, names: Iterable[str]) -> DataFrame:
+    """``read_population`` of CSV lines (``value``) that have these columns."""
+    schema = ", ".join(f"`{name}` STRING" for name in names)
+    return population_columns(lines.select(F.from_csv("value", schema).alias("r")).select("r.*"))
+
+
 def read_boundary_table(spark: SparkSession, path: str) -> DataFrame:
     """Prepared parquet boundaries: ``geoid``, ``geometry_json`` (EPSG:4326) and
     whatever else the table has."""
@@ -39,7 +51,13 @@ def read_boundary_features(
     that occur in the file become text columns, for which their names are read first. The
     geometry stays text.
     """
-    lines = spark.read.text(path)
+    return parse_boundary_features(spark.read.text(path), properties)
+
+
+def parse_boundary_features(
+    lines: DataFrame, properties: tuple[str, ...] | str | None = None
+) -> DataFrame:
+    """``read_boundary_features`` of lines (``value``) from any source."""
     text = F.get_json_object("value", "$.properties")
     if properties is None:
         keys = lines.select(F.explode(F.json_object_keys(text)).alias("name")).distinct()

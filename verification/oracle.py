@@ -6,13 +6,24 @@ Spark plans.
 
 from __future__ import annotations
 
-from tractwise.functions import fixed
 from verification.queries import MIN_PATRONS
-from verification.views import AS_OF, ASIA_TRACTS, VIEWS
+from verification.views import AS_OF, ASIA_TRACTS, REPEATED, VIEWS
+
+# Fixed values, written out here so that an error in the package does not pass.
+_LEVEL_CODES = (
+    ("state", 2, "04000US"),
+    ("county", 5, "05000US"),
+    ("tract", 11, "14000US"),
+    ("block_group", 12, "15000US"),
+)
+_METRIC_ORDER = (
+    "total_patrons estimated_population pct_cardholders total_checkouts checkouts_per_patron"
+    " total_new_patrons total_active_patrons pct_active total_blocked_patrons pct_blocked"
+).split()
 
 _TODAY = f"DATE '{AS_OF}'"
-_CLEAN = f"regexp_replace(field_content, '{fixed.SUBFIELD_MARKER_PATTERN}', '', 'g')"
-_MATCH = f"regexp_matches(field_content, '{fixed.CENSUS_FIELD_PATTERN}')"
+_CLEAN = "regexp_replace(field_content, '[|][sctb]', '', 'g')"
+_MATCH = r"regexp_matches(field_content, '^[|]s\d{2}')"
 _AGE = f"CAST(date_part('year', age(CAST({_TODAY} AS TIMESTAMP), CAST(birth_date_gmt AS TIMESTAMP))) AS INT)"
 _LAST_YEAR = f"CAST({_TODAY} - INTERVAL 1 YEAR AS DATE)"
 _ACTIVE = f"CAST(activity_gmt AS DATE) >= {_LAST_YEAR}"
@@ -54,7 +65,7 @@ SELECT {keys} geoid, total_patrons, total_checkouts, total_renewals, total_circ,
  {_percent("total_active_patrons")} AS pct_active, total_blocked_patrons,
  {_percent("total_blocked_patrons")} AS pct_blocked,
  {_hundredths("((200 * total_checkouts + total_patrons) // (2 * total_patrons))")} AS checkouts_per_patron,
- '{fixed.PROFILE_ADDRESS}' || {prefix} || geoid AS census_reporter_url
+ 'https://censusreporter.org/profiles/' || {prefix} || geoid AS census_reporter_url
 FROM (SELECT {keys} {geoid} AS geoid,
   COUNT(DISTINCT id) AS total_patrons,
   CAST(SUM(checkout_total) AS BIGINT) AS total_checkouts,
@@ -73,7 +84,7 @@ _ASIA = f"(SELECT * FROM joined WHERE tract IN ({ASIA_TRACTS})) r"
 _SERVED = "(SELECT joined.*, library FROM joined JOIN service_area USING (tract)) r"
 _LEVELS = (
     "(SELECT {rows}.*, level, digits, prefix FROM {rows} CROSS JOIN (VALUES "
-    + ", ".join(f"('{level}', {digits}, '{prefix}')" for level, (digits, prefix) in fixed.LEVELS.items())
+    + ", ".join(f"('{level}', {digits}, '{prefix}')" for level, digits, prefix in _LEVEL_CODES)
     + ") l(level, digits, prefix)) r"
 )
 _LIBRARY_STATS = _stats(_SERVED, "library,", "substr(code, 1, 12)", "'15000US'")
@@ -84,7 +95,7 @@ _PERCENT_OF_POPULATION = (
 _LAYER = {
     "stats": _LIBRARY_STATS,
     "valued": f"SELECT *, {_PERCENT_OF_POPULATION} AS pct_cardholders FROM stats JOIN population USING (geoid)",
-    "layer": "SELECT valued.*, NAMELSAD AS namelsad, geometry_json FROM valued JOIN boundary USING (geoid)",
+    "layer": "SELECT valued.*, NAMELSAD AS namelsad, boundary.households AS households_boundary, geometry_json FROM valued JOIN boundary USING (geoid)",
     "map_view": (
         "SELECT DISTINCT library, CASE WHEN r_regionkey > 0 THEN CAST(r_regionkey + 42.25 AS DOUBLE) END AS lat,"
         " CASE WHEN r_regionkey > 0 THEN CAST(-71.5 - r_regionkey AS DOUBLE) END AS lon,"
@@ -111,29 +122,42 @@ _LONG = "\nUNION ALL ".join(
     f"SELECT library, geoid, geographic_area_name, '{name}' AS metric, CAST({order} AS INT) AS metric_order,"
     f" {'TRUE' if order == 1 else 'FALSE'} AS is_default,"
     f" {_PERCENT_TEXT if name == 'pct_cardholders' else f'CAST({name} AS VARCHAR)'} AS value_text FROM layer"
-    for order, name in enumerate(fixed.METRICS, 1)
+    for order, name in enumerate(_METRIC_ORDER, 1)
 )
 _METRICS = f"""
 SELECT *, CAST(value_text AS DOUBLE) AS value,
  '<b>' || geographic_area_name || '</b><br>Total: ' || value_text || '<extra></extra>' AS label
 FROM ({_LONG}) m"""
-_PROPERTIES = [
-    *fixed.STAT_COLUMNS,
-    "geographic_area_name",
-    "estimated_population",
-    "pct_cardholders",
-    "namelsad",
-]
+_PROPERTIES = (
+    "geoid total_patrons total_checkouts total_renewals total_circ total_checkouts_current"
+    " total_holds_current avg_age total_new_patrons total_active_patrons pct_active"
+    " total_blocked_patrons pct_blocked checkouts_per_patron census_reporter_url"
+    " geographic_area_name estimated_population households pct_cardholders namelsad"
+    " households_boundary"
+).split()
 
 
 def _level_stats(level: str) -> str:
-    digits, prefix = fixed.LEVELS[level]
+    [(digits, prefix)] = [rest for name, *rest in _LEVEL_CODES if name == level]
     return _with(_stats("joined", "", f"substr(code, 1, {digits})", f"'{prefix}'"))
 
 
 ORACLE: dict[str, str] = {
     "population_scan": _with("SELECT * FROM population"),
-    "boundary_scan": _with("SELECT geoid, geometry_json, NAMELSAD AS namelsad FROM boundary"),
+    "boundary_scan": _with("SELECT geoid, geometry_json, NAMELSAD AS namelsad, households FROM boundary"),
+    "population_lines": _with(
+        "SELECT geoid, geographic_area_name, estimated_population, CAST(households AS VARCHAR) AS households FROM population"
+    ),
+    "boundary_lines": _with(
+        "SELECT geoid, NAMELSAD AS namelsad, CAST(substr(geoid, 6, 6) AS BIGINT) AS aland, geometry_json FROM boundary"
+    ),
+    "key_violations": _with(
+        "SELECT 'patron_record' AS \"table\", id, COUNT(*) AS times FROM patron_record GROUP BY id HAVING COUNT(*) > 1"
+        " UNION ALL SELECT 'record_metadata', id, COUNT(*) FROM record_metadata GROUP BY id HAVING COUNT(*) > 1"
+        " UNION ALL SELECT 'hold', id, COUNT(DISTINCT patron_record_id) FROM hold GROUP BY id"
+        " HAVING COUNT(DISTINCT patron_record_id) > 1",
+        **REPEATED,
+    ),
     "service_area_tracts": _with("SELECT DISTINCT library, tract FROM customer_tracts"),
     "service_area_views": _with("SELECT * FROM map_view", **_LAYER),
     "census_code_clean": _with(f"SELECT record_id, field_content, {_CLEAN} AS code FROM varfield"),
@@ -144,7 +168,7 @@ ORACLE: dict[str, str] = {
     ),
     "census_url": _with(
         "SELECT id, CASE WHEN coalesce(field_content, '') = '' THEN 'na'"
-        f" ELSE '{fixed.PROFILE_ADDRESS}15000US' || substr({_CLEAN}, 1, 12) END AS url"
+        f" ELSE 'https://censusreporter.org/profiles/15000US' || substr({_CLEAN}, 1, 12) END AS url"
         " FROM patron_record LEFT JOIN varfield ON id = record_id"
     ),
     "census_field_match": _with(f"SELECT record_id, field_content, {_MATCH} AS is_match FROM varfield"),
@@ -167,6 +191,9 @@ ORACLE: dict[str, str] = {
     "patron_stats": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
     "patron_stats_distinct_holds": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
     "patron_stats_direct": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
+    "patron_stats_repeated_keys": _with(
+        _stats("joined", "", "substr(code, 1, 12)", "'15000US'"), **REPEATED
+    ),
     "patron_stats_tract": _level_stats("tract"),
     "patron_stats_county": _level_stats("county"),
     "patron_stats_state": _level_stats("state"),

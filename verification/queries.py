@@ -38,6 +38,20 @@ def service_area_views(spark, sf_dir):
     return map_views(views.catalogue(spark, sf_dir, "customer_tracts"))
 
 
+def population_lines(spark, sf_dir):
+    lines = views.view(spark, sf_dir, "population_lines")
+    return tractwise.parse_population(lines, views.POPULATION_HEADER)
+
+
+def boundary_lines(spark, sf_dir):
+    lines = views.view(spark, sf_dir, "boundary_lines")
+    return tractwise.parse_boundary_features(lines, "GEOID STRING, NAMELSAD STRING, ALAND BIGINT")
+
+
+def key_violations(spark, sf_dir):
+    return tractwise.key_violations(views.tables(spark, sf_dir, repeated=True))
+
+
 # Projections and filters
 
 def _patron_fields(spark, sf_dir):
@@ -133,6 +147,10 @@ def patron_stats_direct(spark, sf_dir):
     return tractwise.patron_stats_direct(views.tables(spark, sf_dir), ASIA_TRACTS, AS_OF)
 
 
+def patron_stats_repeated_keys(spark, sf_dir):
+    return tractwise.patron_stats_direct(views.tables(spark, sf_dir, repeated=True), as_of=AS_OF)
+
+
 def stats_at(level: str) -> Query:
     def query(spark, sf_dir):
         return tractwise.patron_stats(views.tables(spark, sf_dir), as_of=AS_OF, level=level)
@@ -233,6 +251,9 @@ def unmatched_areas(spark, sf_dir):
 QUERIES: dict[str, Query] = {
     "population_scan": population_scan,
     "boundary_scan": boundary_scan,
+    "population_lines": population_lines,
+    "boundary_lines": boundary_lines,
+    "key_violations": key_violations,
     "service_area_tracts": service_area,
     "service_area_views": service_area_views,
     "census_code_clean": census_code_clean,
@@ -251,6 +272,7 @@ QUERIES: dict[str, Query] = {
     "patron_stats": patron_stats,
     "patron_stats_distinct_holds": patron_stats_distinct_holds,
     "patron_stats_direct": patron_stats_direct,
+    "patron_stats_repeated_keys": patron_stats_repeated_keys,
     "patron_stats_tract": stats_at("tract"),
     "patron_stats_county": stats_at("county"),
     "patron_stats_state": stats_at("state"),

@@ -70,18 +70,45 @@ WHERE c_nationkey <> 24""",
     "population": f"""
 SELECT '25' || county || {_TRACT.format("c_nationkey")} || block_group AS geoid,
  'Block Group ' || block_group || ', Census Tract ' || CAST(3810 + c_nationkey AS VARCHAR(4)) || ', ' || n_name AS geographic_area_name,
- CAST(CASE WHEN c_nationkey = 7 AND block_group = '1' THEN 0 ELSE 40 + 2 * COUNT(*) + (c_nationkey * 37) % 61 END AS BIGINT) AS estimated_population
+ CAST(CASE WHEN c_nationkey = 7 AND block_group = '1' THEN 0 ELSE 40 + 2 * COUNT(*) + (c_nationkey * 37) % 61 END AS BIGINT) AS estimated_population,
+ COUNT(*) AS households
 FROM (SELECT c_nationkey, {_COUNTY} AS county, {_BLOCK_GROUP} AS block_group FROM customer) c
 JOIN nation ON c_nationkey = n_nationkey
 WHERE NOT (c_nationkey = 6 AND block_group = '2')
 GROUP BY county, c_nationkey, block_group, n_name""",
     "boundary": f"""
-SELECT geoid, '{{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]}}' AS geometry_json, NAMELSAD
-FROM (SELECT '25' || county || {_TRACT.format("c_nationkey")} || block_group AS geoid, 'Block Group ' || block_group AS NAMELSAD,
+SELECT geoid, '{{"type":"Polygon","coordinates":[[[' || x0 || ',' || y0 || '],[' || x1 || ',' || y0 || '],[' || x1 || ',' || y1 || '],[' || x0 || ',' || y0 || ']]]}}' AS geometry_json, NAMELSAD, households
+FROM (SELECT '25' || county || {_TRACT.format("c_nationkey")} || block_group AS geoid, 'Block Group ' || block_group AS NAMELSAD, 'about ' || CAST(c_nationkey AS VARCHAR(2)) AS households,
  CAST(-72 + c_nationkey AS VARCHAR(4)) AS x0, CAST(-71 + c_nationkey AS VARCHAR(4)) AS x1,
  CAST(42 + CAST(block_group AS INT) AS VARCHAR(4)) AS y0, CAST(43 + CAST(block_group AS INT) AS VARCHAR(4)) AS y1
  FROM (SELECT c_nationkey, {_COUNTY} AS county, {_BLOCK_GROUP} AS block_group FROM customer
-  UNION SELECT c_nationkey, '017', '4' FROM customer WHERE c_custkey % 31 = 0) c) g""",
+  UNION SELECT c_nationkey, '017', '4' FROM customer WHERE c_custkey % 31 = 0) c
+ WHERE NOT (c_nationkey = 11 AND block_group = '3')) g""",
+}
+
+#: Lines as files have them, with a column that is not declared.
+POPULATION_HEADER = ("geoid", "geographic_area_name", "estimated_population", "households")
+LINES = {
+    "population_lines": f"""
+SELECT geoid || ',"' || geographic_area_name || '",' || CAST(estimated_population AS VARCHAR(20)) || ',' || CAST(households AS VARCHAR(20)) AS value
+FROM ({VIEWS["population"]}) p""",
+    "boundary_lines": f"""
+SELECT '{{"type":"Feature","properties":{{"GEOID":"' || geoid || '","NAMELSAD":"' || NAMELSAD || '","ALAND":' || substr(geoid, 6, 6) || '}},"geometry":' || geometry_json || '}}' AS value
+FROM ({VIEWS["boundary"]}) b""",
+}
+VIEWS.update(LINES)
+
+#: The same tables with keys that repeat: patrons and metadata twice, holds under several patrons.
+REPEATED = {
+    "patron_record": f"""
+SELECT * FROM ({VIEWS["patron_record"]}) p
+UNION ALL SELECT id, checkout_count, renewal_total, checkout_count, birth_date_gmt, activity_gmt, 'b', owed_amt
+FROM ({VIEWS["patron_record"]}) q WHERE id % 13 = 0""",
+    "record_metadata": f"""
+SELECT * FROM ({VIEWS["record_metadata"]}) m
+UNION ALL SELECT id, creation_date_gmt FROM ({VIEWS["record_metadata"]}) n WHERE id % 11 = 0""",
+    "hold": """
+SELECT o_orderkey - o_orderkey % 64 AS id, o_custkey AS patron_record_id FROM orders WHERE o_orderstatus = 'O'""",
 }
 
 
@@ -98,12 +125,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name])
 
 
-def tables(spark: SparkSession, sf_dir: str) -> PatronTables:
-    """The five tables. Holds are orders, which have unique keys."""
+def tables(spark: SparkSession, sf_dir: str, repeated: bool = False) -> PatronTables:
+    """The five tables. Holds are orders, which have unique keys unless ``repeated``."""
     names = ("patron_record", "patron_record_address", "record_metadata", "hold", "varfield")
-    _register(spark, sf_dir, [VIEWS[name] for name in names])
+    texts = {**VIEWS, **REPEATED} if repeated else VIEWS
+    _register(spark, sf_dir, [texts[name] for name in names])
     return PatronTables(
-        **{name: spark.sql(VIEWS[name]) for name in names}, unique_holds=True
+        **{name: spark.sql(texts[name]) for name in names}, unique_holds=not repeated
     )
 
 
