@@ -186,18 +186,20 @@ def exact_groups(
     texts = _located(spark.read.parquet(documents)).select(
         "locator", normalised_bytes()("text").alias("bytes")
     )
-    hits = several.join(texts, "locator")
-    clashing = stored(
+    # all texts are shuffled once; clashing digests take theirs from the stored hits
+    hits = stored(several.join(texts, "locator"), "hits")
+    clashes = stored(
         hits.groupBy("digest")
         .agg(F.min("bytes").alias("least"), F.max("bytes").alias("greatest"))
-        .select("digest", (F.col("least") != F.col("greatest")).alias("clash")),
-        "clashing",
+        .filter("least <> greatest")
+        .select("digest"),
+        "clashes",
     )
-    checked = stored(several.join(clashing, "digest"), "checked")
     columns = ["doc_id", "locator", "digest", "keeper", "group_size"]
-    same = checked.filter("NOT clash").select(*columns)
-    mixed = checked.filter("clash").select("doc_id", "locator", "digest")
-    split = mixed.join(texts, "locator")
+    same = several.join(clashes, "digest", "left_anti").select(*columns)
+    split = hits.join(clashes, "digest", "left_semi").select(
+        "doc_id", "locator", "digest", "bytes"
+    )
     regrouped = split.join(
         split.groupBy("digest", "bytes").agg(
             F.max(F.struct("doc_id", "locator")).alias("keeper"), F.count("*").alias("group_size")
