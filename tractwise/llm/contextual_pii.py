@@ -17,7 +17,8 @@ All of it is DataFrame and SQL functions. One pass over the texts writes base sp
 candidates with their contexts to shared storage; the graph is made from that.
 
 Offsets are code points, ends exclusive. Each expression takes linear time on any text:
-quantifiers are possessive, and a run of characters is entered at its first one only.
+quantifiers are possessive, and a run of characters is entered at its first one only or
+read a bounded way ahead.
 
 Nulls: a null text is an empty one. Rows are told apart by a number they get in the
 stored table, so repeated rows and ids need no rule. An empty table gives an empty
@@ -48,10 +49,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 
-#: Number-like tokens: groups of digits with a sign or two between, and codes with digits.
+#: Number-like tokens: up to 17 groups of digits with a sign or two between, and codes whose
+#: first digit is at most 64 characters in. Both bounds keep long runs out of square time.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+])(?:\+?\(?[0-9]++(?:[().\x20-]{1,2}+[0-9]++)*+(?![A-Za-z@_])"
-    r"|(?=[A-Za-z_-]*+[0-9])[A-Za-z0-9]++(?:[-_./:@+][A-Za-z0-9]++)*+)"
+    r"(?<![A-Za-z0-9+])(?:\+?\(?[0-9]++(?:[().\x20-]{1,2}+[0-9]++){0,16}+(?![A-Za-z@_])"
+    r"|(?=[A-Za-z_-]{0,64}+[0-9])[A-Za-z0-9]++(?:[-_./:@+][A-Za-z0-9]++)*+)"
 )
 CANDIDATE_DIGITS = 5
 
