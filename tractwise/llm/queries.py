@@ -12,10 +12,13 @@ from tractwise.llm import (
     contextual_pii,
     cross_parse,
     ftrl,
+    hard_negatives,
     length_buckets,
     simhash_bytes,
+    spelling,
     stream_dedup,
     token_files,
+    toxicity,
     url_rules,
 )
 from tractwise.llm.common import shared_folder, stored, table
@@ -105,6 +108,19 @@ def op10_cross_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_nb_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
+    return toxicity.fitted_and_scored(docs, labels)
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_residue_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -118,6 +134,9 @@ QUERIES = {
         op8_byte_bpe,
         op9_simhash_bytes,
         op10_cross_parse,
+        op11_nb_toxicity,
+        op12_spelling_variants,
+        op13_residue_negatives,
     )
 }
 
@@ -130,4 +149,25 @@ ORACLE = {
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(text) AS text_sha256
         FROM texts WINDOW same AS (PARTITION BY text)""",
+    "op13_residue_negatives": """
+        WITH vectors AS (
+            SELECT vec_id,
+                   CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS parts
+            FROM embeddings
+            WHERE label IS NOT NULL AND embedding IS NOT NULL
+              AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding)),
+        scores AS (
+            SELECT a.vec_id AS anchor_id, b.vec_id AS other_id, a.label = b.label AS same,
+                   CAST(list_dot_product(a.parts, b.parts) AS BIGINT) AS score
+            FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0),
+        positives AS (
+            SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM scores WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5)
+        SELECT anchor_id, positive_id, CAST(row_number() OVER best AS INT) AS rank,
+               other_id AS negative_id, positive_score, score AS negative_score
+        FROM positives JOIN scores USING (anchor_id)
+        WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+        WINDOW best AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, other_id)
+        QUALIFY row_number() OVER best <= 3""",
 }
