@@ -51,12 +51,14 @@ def test_ratios_and_weights_equal_plain_ones():
     for row, label in zip(rows, labels, strict=True):
         (toxic if label else clean)[row] += 1
     n1, n0 = int(labels.sum()), int((1 - labels).sum())
-    index, ratios = toxicity.log_ratios(toxic, clean, n1, n0, 0.0)
+    index, ratios = toxicity.log_ratios(toxic, clean, n1, n0, 0.0, 0.0)
     assert index.tolist() == list(range(8))
     for i in range(8):
         expected = math.log((toxic[i] + 1) / (n1 + 2) / ((clean[i] + 1) / (n0 + 2)))
         assert math.isclose(ratios[i], expected)
-    assert set(toxicity.log_ratios(toxic, clean, n1, n0, 2.0)[0]) < set(index)
+    some = set(toxicity.log_ratios(toxic, clean, n1, n0, 0.0, 2.0)[0])
+    large = set(toxicity.log_ratios(toxic, clean, n1, n0, 1.0, 0.0)[0])
+    assert some < set(index) and large == {i for i in index if abs(ratios[i]) >= 1}
     fit = toxicity.Fit(steps=3000)
     arrays = [np.array(row, np.int64) for row in rows]
     weights, intercept = toxicity.descended(arrays, labels, ratios, fit)

@@ -3,7 +3,7 @@
 A text becomes its set of character n-grams, hashed into ``2**BITS`` features. Over
 labelled texts, the log of the ratio between a feature's share of toxic and of clean
 texts (each plus one) tells how much its presence speaks for either side. A feature
-counts only if this ratio lies ``Z`` standard errors from zero. The ratios are the values
+counts only if this ratio is large enough to matter and lies some standard errors from zero. The ratios are the values
 of the features, each text's vector has length 1, and logistic regression learns a weight
 for each feature by accelerated gradient descent.
 
@@ -51,12 +51,13 @@ BLANK = 32
 @dataclass(frozen=True)
 class Fit:
     """Bounds of the sample (labelled rows, characters in all and in one text), tasks that
-    count, least standard errors of a ratio, L2 penalty, steps of descent."""
+    count, least log ratio and standard errors of a feature, L2 penalty, steps of descent."""
 
     rows: int = 16_384
     chars: int = 64_000_000
     text_chars: int = 1_000_000
     tasks: int = 16
+    ratio: float = 1.0
     z: float = 3.5
     penalty: float = 0.1
     steps: int = 200
@@ -123,32 +124,46 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(margin + self.intercept, -35, 35))))
 
 
-def log_ratios(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, z: float):
-    """Features with a significant log-count ratio, and these ratios."""
+def log_ratios(
+    toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int, least: float, z: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """Features with a large and significant log-count ratio, and these ratios."""
     p, q = toxic + 1.0, clean + 1.0
     ratios = np.log(p / (n_toxic + 2)) - np.log(q / (n_clean + 2))
     error = np.sqrt(1 / p - 1 / (n_toxic + 2) + 1 / q - 1 / (n_clean + 2))
-    index = np.flatnonzero(np.abs(ratios) > z * error)
+    index = np.flatnonzero((np.abs(ratios) >= least) & (np.abs(ratios) > z * error))
     return index, ratios[index]
 
 
+#: Texts whose vectors are multiplied at a time.
+BLOCK = 512
+
+
 def descended(
     rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, fit: Fit
 ) -> tuple[np.ndarray, float]:
-    """Weights and intercept of penalised logistic regression; rows hold places in ``ratios``."""
+    """Weights and intercept of penalised logistic regression; rows hold places in ``ratios``.
+
+    Products go block by block, so that only the places themselves are held for all rows.
+    """
     n, size = len(rows), len(ratios)
-    places = np.concatenate([np.zeros(0, np.int64), *rows])
-    owner = np.repeat(np.arange(n), [len(row) for row in rows])
-    values = ratios[places]
-    lengths = np.sqrt(np.bincount(owner, values**2, n))
-    values = values / np.maximum(lengths, 1e-12)[owner]
+    blocks = []
+    for first in range(0, n, BLOCK):
+        some = rows[first : first + BLOCK]
+        places = np.concatenate(some)
+        owner = np.repeat(np.arange(len(some), dtype=np.int16), [len(row) for row in some])
+        lengths = np.sqrt(np.bincount(owner, ratios[places] ** 2, len(some)))
+        values = (ratios[places] / np.maximum(lengths, 1e-12)[owner]).astype(np.float32)
+        blocks.append((places, owner, values, labels[first : first + BLOCK]))
     ahead = np.zeros(size + 1)
     weights, speed = ahead.copy(), 1.0
     for _ in range(fit.steps):
-        margin = np.bincount(owner, values * ahead[places], n) + ahead[-1]
-        error = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - labels) / n
-        slope = np.bincount(places, values * error[owner], size)
-        slope = np.append(slope + 2 * fit.penalty / n * ahead[:-1], error.sum())
+        slope = np.append(2 * fit.penalty / n * ahead[:-1], 0.0)
+        for places, owner, values, label in blocks:
+            margin = np.bincount(owner, values * ahead[places], len(label)) + ahead[-1]
+            error = (1 / (1 + np.exp(-np.clip(margin, -35, 35))) - label) / n
+            slope[:-1] += np.bincount(places, values * error[owner], size)
+            slope[-1] += error.sum()
         step = ahead - fit.rate * slope
         faster = (1 + np.sqrt(1 + 4 * speed * speed)) / 2
         ahead = step + (speed - 1) / faster * (step - weights)
@@ -256,7 +271,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
         prior = float(np.log((all_toxic + 1) / (all_clean + 1)))
         return Model(np.zeros(0, np.int64), nothing, nothing, prior)
     toxic, clean = counted(sample, fit)
-    index, ratios = log_ratios(toxic, clean, n_toxic, n_clean, fit.z)
+    index, ratios = log_ratios(toxic, clean, n_toxic, n_clean, fit.ratio, fit.z)
     shared = docs.sparkSession.sparkContext.broadcast((index, ratios))
 
     def make():
@@ -281,7 +296,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     def learn(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["tie", "toxic"], kind="stable")
         index, ratios = shared.value
-        found = [np.frombuffer(row, "<i4").astype(np.int64) for row in rows["found"]]
+        found = [np.frombuffer(row, "<i4") for row in rows["found"]]
         weights, intercept = descended(found, rows["toxic"].to_numpy(float), ratios, fit)
         return pd.DataFrame({"weights": [weights.tobytes()], "intercept": [intercept]})
 
