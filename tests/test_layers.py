@@ -12,7 +12,7 @@ import tractwise
 from tractwise.functions import fixed
 from tractwise.operators import layers
 from tractwise.plans import jobs
-from tractwise.sinks import writers
+from tractwise.sinks import versions, writers
 from tests import small
 from tests.small import TODAY, patron
 from verification import queries, views
@@ -135,42 +135,108 @@ def test_current_output_is_replaced_per_library(spark, tmp_path):
     assert sorted(tuple(row) for row in rows) == [("North", 9), ("South", 2)]
 
 
+OUTPUTS = ("stats", "cardholder", "dual", "metrics", "features")
+
+
+def published(spark, root, output):
+    """Sorted valid rows of an output."""
+    form = "text" if output == "features" else "parquet"
+    rows = tractwise.read_published(spark, root, output, form=form).collect()
+    return sorted((tuple(row) for row in rows), key=str)
+
+
+def data_files(root, output):
+    return [path for path in Path(root, output).rglob("part-*") if path.is_file()]
+
+
 def test_publish(spark, inputs, tmp_path):
     root = str(tmp_path)
     for _ in range(2):
         tractwise.publish(*inputs, root=root, run_date=TODAY)
-    counts = {
-        name: spark.read.parquet(f"{root}/{name}").count() for name in ("stats", "cardholder", "dual", "metrics")
-    }
-    assert counts == {"stats": 4, "cardholder": 2, "dual": 4, "metrics": 20}
-    single = spark.read.parquet(f"{root}/cardholder").orderBy("geoid").first()
+    counts = {name: len(published(spark, root, name)) for name in OUTPUTS}
+    assert counts == {"stats": 4, "cardholder": 2, "dual": 4, "metrics": 20, "features": 2}
+    single = tractwise.read_published(spark, root, "cardholder").orderBy("geoid").first()
     assert (single.library, single.value, single.lat, single.zoom) == ("North", 12.5, 42.25, 11)
-    lines = [
-        json.loads(line)
-        for path in Path(root, "features", "library=North").glob("*.txt")
-        for line in path.read_text().splitlines()
-    ]
+    assert {row[-1] for row in published(spark, root, "stats")} == {TODAY}
+    lines = [json.loads(value) for _, value in published(spark, root, "features")]
     assert sorted(line["properties"]["geoid"] for line in lines) == ["250173831011", "250173831012"]
+    assert {library for library, _ in published(spark, root, "features")} == {"North"}
 
 
 def test_publish_again_leaves_nothing_of_the_first_run(spark, inputs, tmp_path):
     root = str(tmp_path)
     tractwise.publish(*inputs, root=root, run_date=date(2024, 1, 1))
+    first = {name: set(data_files(root, name)) for name in OUTPUTS}
     tractwise.publish(*inputs, root=root, run_date=TODAY)
     tractwise.publish(*inputs, root=root, run_date=TODAY, min_patrons=10**6)
     for name in ("stats", "dual", "metrics"):
-        days = {path.name for path in Path(root, name).glob("library=*/run_date=*")}
-        assert days == {"run_date=2024-01-01"}, name
+        assert {row[-1] for row in published(spark, root, name)} == {date(2024, 1, 1)}, name
+        assert set(data_files(root, name)) == first[name]
     for name in ("cardholder", "features"):
-        assert not list(Path(root, name).glob("library=*")), name
+        found = tractwise.read_published(spark, root, name, "library STRING, value STRING", "text")
+        assert found.isEmpty(), name
+        assert not data_files(root, name), name
+
+
+def failing(frame):
+    """The same columns; reading rows raises."""
+    names = [F.col(name) for name in frame.columns if name != "geoid"]
+    return frame.select(F.raise_error(F.lit("broken input")).cast("string").alias("geoid"), *names)
+
+
+@pytest.mark.parametrize("part", ["tables", "boundary", "population", "pointer"])
+def test_a_run_that_fails_leaves_every_output_as_before(spark, inputs, tmp_path, part, monkeypatch):
+    root, (tables, catalogue, boundary, population) = str(tmp_path), inputs
+    tractwise.publish(*inputs, root=root, run_date=TODAY)
+    before = {name: published(spark, root, name) for name in OUTPUTS}
+    files = {name: set(data_files(root, name)) for name in OUTPUTS}
+    if part == "tables":
+        broken = tables.hold.withColumn("id", F.raise_error(F.lit("broken input")).cast("bigint"))
+        tables = replace(tables, hold=broken)
+    if part == "boundary":
+        boundary = failing(boundary.withColumnRenamed("GEOID", "geoid"))
+    if part == "population":
+        population = failing(population)
+    if part == "pointer":
+        monkeypatch.setattr(versions, "point", lambda *_: 1 / 0)
+    with pytest.raises(Exception, match="broken input|division"):
+        tractwise.publish(tables, catalogue, boundary, population, root=root, run_date=TODAY, min_patrons=2)
+    assert {name: published(spark, root, name) for name in OUTPUTS} == before
+    assert all(files[name] <= set(data_files(root, name)) for name in OUTPUTS)
+    monkeypatch.undo()
+    tractwise.publish(*inputs, root=root, run_date=TODAY, min_patrons=2)
+    assert published(spark, root, "stats") != before["stats"]
+    assert not any(files[name] & set(data_files(root, name)) for name in OUTPUTS)
+
+
+def test_a_run_of_one_library_keeps_the_others(spark, inputs, tmp_path):
+    root, (tables, catalogue, boundary, population) = str(tmp_path), inputs
+    names = ("N/th: 1", "Süd")
+    both = tractwise.catalogue_of(spark, [(names[0], ["383101"]), (names[1], ["383102"])])
+    tractwise.publish(tables, both, boundary, population, root=root, run_date=TODAY)
+    before = {name: published(spark, root, name) for name in OUTPUTS}
+    one = tractwise.catalogue_of(spark, [(names[0], ["383101"])])
+    tractwise.publish(tables, one, boundary, population, root=root, run_date=TODAY)
+    assert {name: published(spark, root, name) for name in OUTPUTS} == before
+    tractwise.publish(tables, one, boundary, population, root=root, run_date=TODAY, min_patrons=99)
+    assert {row[0] for row in published(spark, root, "stats")} == {names[1]}
+    assert tractwise.sweep(spark, root) == 0
+
+
+def test_reading_what_was_never_published(spark, tmp_path):
+    with pytest.raises(ValueError, match="never been published"):
+        tractwise.read_published(spark, f"{tmp_path}/none", "stats")
+    empty = tractwise.read_published(spark, f"{tmp_path}/none", "stats", "library STRING, n INT")
+    assert empty.columns == ["library", "n"] and empty.isEmpty()
+    assert not Path(f"{tmp_path}/none").exists()
 
 
 def test_publish_counts_a_repeated_boundary_like_map_layer(spark, inputs, tmp_path):
     tables, catalogue, boundary, population = inputs
     twice = boundary.union(boundary)
     tractwise.publish(tables, catalogue, twice, population, root=str(tmp_path), run_date=TODAY)
-    cardholder = spark.read.parquet(f"{tmp_path}/cardholder").count()
-    assert cardholder == spark.read.text(f"{tmp_path}/features").count() == 4
+    counts = [len(published(spark, str(tmp_path), name)) for name in ("cardholder", "features")]
+    assert counts == [4, 4]
 
 
 def test_publish_rejects_unknown_outputs(inputs, tmp_path):

@@ -2,12 +2,15 @@
 
 import re
 from dataclasses import replace
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 
 import tractwise
 from tests import small
 from tests.small import TODAY, patron
+from tractwise.plans import area_index
 
 NO_BROADCAST = "spark.sql.autoBroadcastJoinThreshold"
 
@@ -69,12 +72,6 @@ def test_unique_holds_save_a_shuffle(stored, no_broadcast):
     assert len(exchanges(plan)) == 7
 
 
-def test_rollup_regroups_without_more_shuffles(stored, no_broadcast):
-    one = exchanges(plan_of(tractwise.patron_stats(stored, ["383101"], TODAY)))
-    all_levels = exchanges(plan_of(tractwise.rollup_stats(stored, ["383101"], as_of=TODAY)))
-    assert len(all_levels) == len(one)
-
-
 def test_direct_form_neither_expands_nor_gathers_raw_holds_by_patron(stored, no_broadcast):
     plan = plan_of(tractwise.patron_stats_direct(stored, ["383101"], TODAY))
     assert "Expand" not in plan
@@ -133,3 +130,53 @@ def test_bucketed_tables_are_not_shuffled(spark, tmp_path, no_broadcast):
         assert stats.first().total_patrons == 2
     finally:
         spark.sql("DROP DATABASE bucketed CASCADE")
+
+
+def test_one_chain_of_bitmaps_for_all_levels(stored, no_broadcast):
+    plan = plan_of(tractwise.rollup_stats(stored, ["383101"], as_of=TODAY))
+    one = exchanges(plan_of(tractwise.patron_stats(stored, ["383101"], TODAY)))
+    found = exchanges(plan)
+    # patrons move once more than for one level, to be numbered
+    assert found.count("home, part") == 1
+    assert "bitmap_construct_agg" in plan and "bitmap_or_agg" in plan
+    # bitmaps are built and merged in place, and only their sizes move
+    assert not any("set" in key for key in found) and "level, area" in found
+    assert len(found) <= len(one) + 4
+    # no expansion of patrons by level: levels are added to the rows of bitmaps
+    head, _, tail = plan.partition("bitmap_construct_agg")
+    assert "block_group" in head and "block_group" not in tail
+
+
+def test_direct_form_copies_only_frequent_patrons(stored, no_broadcast):
+    plan = plan_of(tractwise.patron_stats_direct(stored, ["383101"], TODAY))
+    assert "approx_top_k" in plan
+    assert "sequence(0, 15" not in plan
+
+
+def test_index_skips_row_groups_and_joins_nothing(spark, tmp_path):
+    rows = [patron(i) for i in range(1, 4001)]
+    fields = [(i, "k", f"|s25|c017|t{381000 + i % 40:06d}|b1") for i in range(1, 4001)]
+    tables = small.tables(spark, small.data(rows, fields=fields))
+    path = f"{tmp_path}/index"
+    area_index.build_area_index(tables, path, ranges=10)
+    index = area_index.read_area_index(spark, path)
+    plan = plan_of(area_index.indexed_stats(index, ["381007"], TODAY))
+    assert "EqualTo(tract,381007)" in plan
+    assert "Join" not in plan and len(exchanges(plan)) == 1
+    groups = [
+        (file.metadata.row_group(g).column(0).statistics, file.metadata.row_group(g).num_rows)
+        for part in Path(path).glob("*.parquet")
+        for file in [pq.ParquetFile(part)]
+        for g in range(file.metadata.num_row_groups)
+    ]
+    meets = [n for stats, n in groups if stats.min <= "381007" <= stats.max]
+    # the tract is in one row group or two, of those of eight files at least
+    assert len(groups) >= 8 and len(meets) <= 2
+    assert area_index.indexed_stats(index, ["381007"], TODAY).first().total_patrons == 100
+    bloom = pq.ParquetFile(next(Path(path).glob("*.parquet"))).metadata.row_group(0).column(2)
+    assert bloom.path_in_schema == "id"
+    assert [tuple(r) for r in area_index.areas_of_patron(index, 77).collect()] == [
+        ("381037", "250173810371", 1)
+    ]
+    with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
+        area_index.build_area_index(tables, path)

@@ -1,9 +1,13 @@
 """Readers and the service-area catalogue."""
 
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 import tractwise
+from tractwise.sinks import writers
 from tractwise.sources import catalogue, files, jdbc
 from tractwise.sources.schemas import TABLES
 from tests import small
@@ -148,3 +152,109 @@ def test_jdbc_tables_read_key_ranges_of_every_table(spark, monkeypatch):
     assert len(calls) == 5
     assert read.hold.columns == ["id", "patron_record_id"]
     assert tractwise.patron_stats(read, as_of=TODAY).first().total_patrons == 1
+
+
+def test_lines_that_cannot_be_read_are_set_aside(spark):
+    names = ("geoid", "geographic_area_name", "estimated_population", "extra")
+    lines = ['250173831011,"A, B",5,x', "010017383101,,,", "few", "a,b,1,c,d", ",b,1,c", "1,b,x1,c", '2,"open,1,c', ""]
+    frame = spark.createDataFrame([(line,) for line in lines] + [(None,)], "value STRING")
+    kept, rejected = files.split_population(frame, names)
+    assert sorted(tuple(row) for row in kept.collect()) == [
+        ("010017383101", None, None, None),
+        ("250173831011", "A, B", 5, "x"),
+    ]
+    found = {row.value: row.reason for row in rejected.collect()}
+    assert set(found) == {None, *lines[2:]}
+    assert found["few"] == found["a,b,1,c,d"] == "number of cells"
+    assert found[",b,1,c"] == "no geoid" and found["1,b,x1,c"] == "estimated_population is no bigint"
+    assert kept.schema == files.parse_population(frame, names).schema
+
+
+def test_features_that_cannot_be_read_are_set_aside(spark):
+    good = '{"type":"Feature","properties":{"GEOID":"1","ALAND":5},"geometry":{"type":"Point"}}'
+    flat = '{"type":"Feature","properties":{"GEOID":"2"},"geometry":null}'
+    bad = {
+        "{": "no feature with properties",
+        '{"type":"Feature","geometry":null}': "no feature with properties",
+        '{"properties":{"GEOID":"3","ALAND":"x"}}': "a property has another type",
+        '{"properties":{"ALAND":3}}': "no geoid",
+    }
+    frame = spark.createDataFrame([(line,) for line in [good, flat, *bad]], "value STRING")
+    kept, rejected = files.split_boundary_features(frame, "GEOID STRING, ALAND BIGINT")
+    assert kept.columns == ["geoid", "aland", "geometry_json"]
+    assert sorted(tuple(row) for row in kept.collect()) == [("1", 5, '{"type":"Point"}'), ("2", None, None)]
+    assert {row.value: row.reason for row in rejected.collect()} == bad
+
+
+def test_collections_are_documents_in_parts(spark, tmp_path):
+    rows = [("North", f"{i:05d}", json.dumps({"type": "Feature", "id": f"{i:05d}", "properties": {"geoid": f"{i:05d}", "n": 'a "type":"Feature", b'}, "geometry": None}, separators=(",", ":"))) for i in range(500)]
+    rows += [rows[0], rows[7], ("South", "1", '{"type":"Feature","properties":{"geoid":"1"},"geometry":{"type":"Point","coordinates":[1,2]}}')]
+    features = spark.createDataFrame(rows, "library STRING, geoid STRING, feature STRING").repartition(5)
+    path = f"{tmp_path}/c"
+    with_parts = {"spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for key, value in with_parts.items():
+        spark.conf.set(key, value)
+    try:
+        writers.write_collections(features, path)
+    finally:
+        for key in with_parts:
+            spark.conf.unset(key)
+    for library in ("North", "South"):
+        parts = sorted(Path(path, f"library={library}").glob("part-*"))
+        document = json.loads("".join(part.read_text() for part in parts))
+        expected = sorted(json.loads(r[2])["properties"]["geoid"] for r in rows if r[0] == library)
+        assert document["type"] == "FeatureCollection"
+        assert [f["properties"]["geoid"] for f in document["features"]] == expected
+    assert len(list(Path(path, "library=North").glob("part-*"))) > 1
+    lines = files.read_feature_collection(spark, path)
+    found = files.parse_boundary_features(lines, "geoid STRING")
+    assert sorted(row.geoid for row in found.collect()) == sorted(r[1] for r in rows)
+    whole = tmp_path / "whole.geojson"
+    whole.write_text('{"type":"FeatureCollection","features":[' + ",\n".join(r[2] for r in rows) + "]}\n")
+    again = files.parse_boundary_features(files.read_feature_collection(spark, str(whole)), "geoid STRING")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, found.collect()))
+
+
+def test_ranges_from_a_histogram_are_even(spark):
+    # ids leave a wide gap and one is missing
+    ids = list(range(1000)) + [10**9 + 5 * i for i in range(3000)] + [None]
+    keys = spark.createDataFrame([(i,) for i in ids], "id BIGINT")
+    cuts = jdbc.key_cuts(keys, "id", 8)
+    predicates = jdbc.key_predicates("id", cuts)
+    counts = [keys.where(p).count() for p in predicates]
+    assert sum(counts) == len(ids) and max(counts) <= 1.1 * len(ids) / 8 + 1
+    one = jdbc.key_cuts(spark.createDataFrame([(7,)] * 50 + [(8,)], "id BIGINT"), "id", 4)
+    assert one == [7] and jdbc.key_predicates("id", one) == ["id <= 7 OR id IS NULL", "id > 7"]
+    assert jdbc.key_cuts(keys.limit(0), "id", 4) == [] and jdbc.key_predicates("id", []) == ["1 = 1"]
+    assert jdbc.key_cuts(keys, "id", 1) == []
+    with pytest.raises(ValueError):
+        jdbc.key_cuts(keys, "id", 0)
+
+
+def test_catalogue_lines_equal_the_file(spark, tmp_path):
+    lines = ["North,383101 383102,42.25,-71.5,11", "South,'980000',,,", "\"Ea, st\",\"'1','2', '1'\",1,2,3", "None,,,,"]
+    path = tmp_path / "areas.csv"
+    path.write_text("\n".join(["library,tracts,lat,lon,zoom", *lines]))
+    frame = spark.createDataFrame([(line,) for line in lines], "value STRING")
+    parsed = sorted(tuple(row) for row in catalogue.parse_catalogue(frame).collect())
+    assert parsed == sorted(tuple(row) for row in catalogue.read_catalogue(spark, str(path)).collect())
+    assert ("Ea, st", ["1", "2"], 1.0, 2.0, 3) in parsed and ("None", [], None, None, None) in parsed
+
+
+def test_catalogue_problems(spark):
+    fields = [(1, "k", "|s25|c017|t383101|b1"), (2, "k", "|s25|c017|t383101|b2"), (3, "k", "|s25|c017|t383109|b1")]
+    tables = small.tables(spark, small.data([patron(1)], fields=fields))
+    areas = tractwise.catalogue_of(spark, [("A", ["383101", "1"]), ("B", ["383101"]), ("B", ["1"])])
+    found = tractwise.catalogue_problems(areas, tables.varfield).collect()
+    assert sorted((tuple(row) for row in found), key=str) == sorted(
+        [
+            ("shared", "A", "383101", 2),
+            ("shared", "B", "383101", 2),
+            ("shared", "A", "1", 0),
+            ("shared", "B", "1", 0),
+            ("empty", "A", "1", 0),
+            ("empty", "B", "1", 0),
+            ("unserved", None, "383109", 1),
+        ],
+        key=str,
+    )

@@ -89,10 +89,37 @@ def hold_counts(hold: DataFrame, unique: bool = False) -> DataFrame:
     )
 
 
-def hold_parts(hold: DataFrame, parts: int) -> DataFrame:
-    """Known holds of known patrons, each patron's dealt over ``parts`` parts by hold."""
-    return hold.where(F.col("id").isNotNull()).select(
-        F.col("patron_record_id").alias("id"),
-        F.col("id").alias("hold_id"),
-        F.pmod(F.hash("id"), F.lit(parts)).alias("part"),
+def frequent_patrons(hold: DataFrame, share: int = 256) -> DataFrame:
+    """(id, parts) of patrons with more than one in ``share`` of all holds, by a sketch.
+
+    A frequent-items sketch of bounded size runs over the holds. No more than ``share``
+    patrons can be so frequent, so the result has at most that many rows. Parts are such
+    that each has about one in ``share`` of all holds; the sketch's error only makes parts
+    somewhat larger or smaller.
+    """
+    sketch = hold.agg(
+        F.expr(f"approx_top_k(patron_record_id, {share}, {64 * share})").alias("top"),
+        F.count("patron_record_id").alias("total"),
+    )
+    return (
+        sketch.select("total", F.inline("top"))
+        .where((F.col("count") * share > F.col("total")) & F.col("item").isNotNull())
+        .select(
+            F.col("item").alias("id"),
+            F.ceil(F.col("count") * share / F.col("total")).cast("int").alias("parts"),
+        )
+    )
+
+
+def hold_parts(hold: DataFrame, frequent: DataFrame) -> DataFrame:
+    """Known holds of known patrons, those of frequent patrons dealt over parts by hold."""
+    return (
+        hold.where(F.col("id").isNotNull())
+        .select(F.col("patron_record_id").alias("id"), F.col("id").alias("hold_id"))
+        .join(frequent, "id", "left")
+        .select(
+            "id",
+            "hold_id",
+            F.pmod(F.hash("hold_id"), F.coalesce("parts", F.lit(1))).alias("part"),
+        )
     )

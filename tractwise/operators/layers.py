@@ -114,13 +114,44 @@ def geojson_features(layer: DataFrame) -> DataFrame:
     """
     names = [name for name in layer.columns if name not in ("library", "geometry_json")]
     properties = F.to_json(F.struct(*names), {"ignoreNullFields": "false"})
+    # the id as JSON text: what to_json makes of {"id":...} without its braces
+    owner = F.to_json(F.struct(F.col("geoid").alias("id")), {"ignoreNullFields": "false"})
     feature = F.concat(
-        F.lit('{"type":"Feature","id":"'),
-        F.col("geoid"),
-        F.lit('","properties":'),
+        F.lit('{"type":"Feature",'),
+        F.substring(owner, F.lit(2), F.length(owner) - 2),
+        F.lit(',"properties":'),
         properties,
         F.lit(',"geometry":'),
         F.coalesce("geometry_json", F.lit("null")),
         F.lit("}"),
     )
     return layer.select(*_keys(layer), feature.alias("feature"))
+
+
+def collection_lines(features: DataFrame) -> DataFrame:
+    """Lines that make one GeoJSON collection of each library: library, place, key, value.
+
+    In order of place and key the lines are a head, the features with a comma before all but
+    the first, and a tail. Features that are equal are one line, written as often as they
+    occur, so that a line is known by its text and the first one needs no numbering.
+    """
+    lines = features.groupBy("library", "geoid", "feature").agg(F.count("*").alias("times"))
+    first = features.groupBy("library").agg(
+        F.min(F.struct("geoid", "feature")).alias("first"), F.lit(True).alias("one")
+    )
+    repeated = F.array_join(F.expr("array_repeat(feature, CAST(times AS INT))"), ",")
+    is_first = F.struct("geoid", "feature").eqNullSafe(F.col("first"))
+    body = lines.join(first, "library").select(
+        "library",
+        F.lit(1).alias("place"),
+        F.concat_ws(" ", "geoid", "feature").alias("key"),
+        F.concat(F.when(is_first, "").otherwise(","), repeated).alias("value"),
+    )
+
+    def alone(place: int, text: str) -> DataFrame:
+        return first.select(
+            "library", F.lit(place).alias("place"), F.lit("").alias("key"), F.lit(text).alias("value")
+        )
+
+    head = alone(0, '{"type":"FeatureCollection","features":[')
+    return head.unionByName(body).unionByName(alone(2, "]}"))

@@ -1,0 +1,84 @@
+"""Exact sets of patrons as bitmaps that can be merged from level to level.
+
+Distinct counts do not add up over geography, sets do: the set of a county is the union of
+the sets of its tracts. A patron gets a number among the patrons of its home, the tract of its
+least area, in order of area; so the patrons of an area are neighbours, and their set is a
+bitmap or two for each home that they come from. Numbers are for one query only.
+
+A home with very many patrons is dealt over parts by a hash of the patron, and each part
+numbered by itself. Which homes that are is counted, see ``large_homes``.
+
+A measure that counts once a patron is a set for each of its binary digits (``digit_sets``): the
+sum over the distinct patrons of an area is the sum of 2**k times the size of set k.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window, functions as F
+
+from tractwise.functions import codes
+
+#: Bits of one of Spark's bitmaps.
+BITS = 1 << 15
+
+#: Numbers of the sets; holds follow, a set a binary digit.
+PATRONS, NEW, ACTIVE, BLOCKED, HOLDS = range(5)
+
+
+def large_homes(patron_areas: DataFrame, most: int = BITS // 2) -> DataFrame:
+    """(home, parts) of homes with more than ``most`` patrons; a row each, so as few as the
+    number of patrons over ``most``."""
+    home = codes.area_of(F.col("geoid"), "tract").alias("home")
+    return (
+        patron_areas.groupBy(home)
+        .agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+        .where(F.col("parts") > 1)
+    )
+
+
+def numbered(rows: DataFrame, large: DataFrame) -> DataFrame:
+    """Adds home, part and number to rows that have geoid and id.
+
+    The least area of a patron comes from a window over its rows, which the joins have put in
+    one partition. Numbering is the one shuffle, by home and part; sets are built and merged
+    where they are then, as home and part stay in the key.
+    """
+    least = F.min("geoid").over(Window.partitionBy("id"))
+    order = Window.partitionBy("home", "part").orderBy("least", "id")
+    return (
+        rows.withColumn("least", least)
+        .withColumn("home", codes.area_of(F.col("least"), "tract"))
+        .join(large, "home", "left")
+        .withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+        # by both, also where a join has left the rows dealt by home alone
+        .repartition("home", "part")
+        .withColumn("number", F.dense_rank().over(order))
+        .drop("least", "parts")
+    )
+
+
+def digit_sets(value: Column) -> Column:
+    """Numbers of the sets that a patron with this many holds is in."""
+    digits = F.when(value > 0, F.sequence(F.lit(0), F.length(F.bin(value)) - 1))
+    held = F.filter(digits, lambda digit: F.getbit(value, digit) == 1)
+    return F.coalesce(F.transform(held, lambda digit: digit + HOLDS), F.array().cast("array<int>"))
+
+
+def memberships(rows: DataFrame) -> DataFrame:
+    """A row for each set that a patron is in, ``set``."""
+    flags = {NEW: "is_new", ACTIVE: "is_active", BLOCKED: "is_blocked"}
+    sets = F.array(F.lit(PATRONS), *[F.when(F.col(f), F.lit(n)) for n, f in flags.items()])
+    sets = F.concat(F.array_compact(sets), digit_sets(F.col("distinct_holds")))
+    return rows.withColumn("set", F.explode(sets))
+
+
+def size_of(number: int) -> Column:
+    """Members of one set from rows with ``set`` and ``members``; 0 if it has none."""
+    return F.coalesce(F.sum(F.when(F.col("set") == number, F.col("members"))), F.lit(0))
+
+
+def holds_total() -> Column:
+    """Holds of the distinct patrons, from the sets of binary digits."""
+    digit = F.col("set") - HOLDS
+    weight = F.pow(F.lit(2.0), digit).cast("bigint")
+    return F.coalesce(F.sum(F.when(digit >= 0, F.col("members") * weight)), F.lit(0))

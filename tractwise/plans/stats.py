@@ -2,21 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from tractwise.functions import codes, fixed, numbers, patrons
-from tractwise.operators import areas, facts
+from tractwise.operators import areas, facts, sets
 from tractwise.sources.catalogue import service_area_tracts
 from tractwise.sources.tables import PatronTables
 
 Day = date | str | Column | None
 
-#: Parts that the holds of one patron are dealt over before they meet areas.
-HOLD_PARTS = 16
-
 
 def patron_stats(
     tables: PatronTables,
@@ -32,15 +30,16 @@ def patron_stats(
     cardholders, most first.
 
     For a few tracts of very large tables give ``store_at``, a path on shared storage.
-    The cardholders of the tracts are stored there and the other tables are reduced to
-    them before anything is counted. Spark chooses the joins by the size of the files.
+    The cardholders of the tracts are stored in a new folder there and the other tables are
+    reduced to them before anything is counted. Spark chooses the joins by the size of the
+    files. For many such reports build an index (``tractwise.plans.area_index``).
     """
     coded = areas.census_fields(tables.varfield)
     if tracts is not None:
         coded = areas.in_tracts(coded, tracts)
     located = areas.patron_areas(coded, [], level)
     rows = _patron_rows(*_reduced(located, tables, store_at), as_of)
-    return _report(_totals(rows, []), [], codes.profile_url(F.col("geoid"), level), min_patrons)
+    return report(totals(rows, []), [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
 def library_stats(
@@ -58,7 +57,7 @@ def library_stats(
     )
     located = areas.patron_areas(coded, keys, level)
     rows = _patron_rows(*_reduced(located, tables, store_at), as_of)
-    return _report(_totals(rows, keys), keys, codes.profile_url(F.col("geoid"), level), min_patrons)
+    return report(totals(rows, keys), keys, codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
 def rollup_stats(
@@ -70,9 +69,9 @@ def rollup_stats(
 ) -> DataFrame:
     """Statistics at every geography level at once, told apart by ``level``.
 
-    Distinct counts do not add up from level to level, so patrons are regrouped
-    per level. That happens after the joins, where all rows of a patron are in one
-    partition already: four levels cost no more shuffling than one.
+    Distinct counts do not add up from level to level, but sets do: block groups get exact
+    bitmaps of their patrons, and every level merges these. Patrons are shuffled once, to be
+    numbered, and not copied for a level; what is merged are bitmaps.
     """
     if tracts is not None and catalogue is not None:
         raise ValueError("give tracts or a catalogue, not both")
@@ -82,26 +81,51 @@ def rollup_stats(
         coded = areas.in_tracts(coded, tracts)
     if catalogue is not None:
         coded = areas.in_service_areas(coded, service_area_tracts(catalogue))
-    rows = _patron_rows(areas.patron_areas(coded, keys, "block_group"), tables, as_of)
-
+    located = areas.patron_areas(coded, keys, "block_group")
+    placed = sets.numbered(_patron_rows(located, tables, as_of), sets.large_homes(located))
+    # sums count once, with the set of all patrons; the grouping has the partitioning of numbers
+    first = F.col("set") == sets.PATRONS
+    bitmap = [*keys, "home", "part", "bucket", "set"]
+    by_area = (
+        sets.memberships(placed)
+        .groupBy(
+            *keys,
+            "geoid",
+            "home",
+            "part",
+            F.bitmap_bucket_number(F.col("number")).alias("bucket"),
+            "set",
+        )
+        .agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(F.col("number"))).alias("members"),
+            *[F.sum(F.when(first, value)).alias(name) for name, value in weighted_sums().items()],
+        )
+    )
     each_level = F.array(
         *[
             F.struct(F.lit(level).alias("level"), codes.area_of(F.col("geoid"), level).alias("area"))
             for level in fixed.LEVELS
         ]
     )
-    per_patron = [name for name in rows.columns if name not in (*keys, "id", "geoid", "copies")]
-    regrouped = (
-        rows.select("*", F.inline(each_level))
-        .groupBy(*keys, "level", F.col("area").alias("geoid"), "id")
+    merged = (
+        by_area.select("*", F.inline(each_level))
+        .groupBy("level", "area", *bitmap)
         .agg(
-            F.sum("copies").alias("copies"),
-            *[F.any_value(name).alias(name) for name in per_patron],
+            F.bitmap_count(F.bitmap_or_agg("members")).alias("members"),
+            *[F.sum(name).alias(name) for name in weighted_sums()],
         )
     )
     keys = [*keys, "level"]
-    url = codes.profile_url_at(F.col("geoid"), F.col("level"))
-    return _report(_totals(regrouped, keys), keys, url, min_patrons)
+    whole = merged.groupBy(*keys, F.col("area").alias("geoid")).agg(
+        sets.size_of(sets.PATRONS).alias("total_patrons"),
+        *[F.sum(name).alias(name) for name in SUMS],
+        sets.holds_total().alias("total_holds_current"),
+        numbers.whole_mean(F.sum("ages"), F.sum("known_ages")).alias("avg_age"),
+        sets.size_of(sets.NEW).alias("total_new_patrons"),
+        sets.size_of(sets.ACTIVE).alias("total_active_patrons"),
+        sets.size_of(sets.BLOCKED).alias("total_blocked_patrons"),
+    )
+    return report(whole, keys, codes.profile_url_at(F.col("geoid"), F.col("level")), min_patrons)
 
 
 def patron_stats_direct(
@@ -133,7 +157,7 @@ def patron_stats_direct(
     def weighted(name: str, other: str) -> Column:
         return F.sum(F.col(name) * F.col(other) * copies)
 
-    totals = (
+    whole = (
         rows.join(counted, "id", "left")
         .groupBy("geoid")
         .agg(
@@ -150,16 +174,21 @@ def patron_stats_direct(
             F.count_if("is_blocked").alias("total_blocked_patrons"),
         )
     )
+    # the few patrons with very many holds are dealt over parts, all others are copied once
+    frequent = F.broadcast(facts.frequent_patrons(tables.hold))
+    last = F.coalesce("parts", F.lit(1)) - 1
     held = (
-        rows.select("geoid", "id", F.explode(F.sequence(F.lit(0), F.lit(HOLD_PARTS - 1))).alias("part"))
-        .join(facts.hold_parts(tables.hold, HOLD_PARTS), ["id", "part"])
+        rows.select("geoid", "id")
+        .join(frequent, "id", "left")
+        .select("geoid", "id", F.explode(F.sequence(F.lit(0), last)).alias("part"))
+        .join(facts.hold_parts(tables.hold, frequent), ["id", "part"])
         .select("geoid", "hold_id")
         .distinct()
         .groupBy("geoid")
         .agg(F.count("*").alias("total_holds_current"))
     )
-    totals = totals.join(held, "geoid", "left").na.fill(0, ["total_holds_current"])
-    return _report(totals, [], codes.profile_url(F.col("geoid"), level), min_patrons)
+    whole = whole.join(held, "geoid", "left").na.fill(0, ["total_holds_current"])
+    return report(whole, [], codes.profile_url(F.col("geoid"), level), min_patrons)
 
 
 def _reduced(
@@ -168,8 +197,9 @@ def _reduced(
     """Patron areas; if they are stored, reread, with the tables cut down to their patrons."""
     if store_at is None:
         return patron_areas, tables
-    patron_areas.write.mode("overwrite").parquet(store_at)
-    stored = patron_areas.sparkSession.read.schema(patron_areas.schema).parquet(store_at)
+    path = f"{store_at.rstrip('/')}/patrons-{uuid.uuid4().hex}"
+    patron_areas.write.mode("errorifexists").parquet(path)
+    stored = patron_areas.sparkSession.read.schema(patron_areas.schema).parquet(path)
     return stored, tables.of_patrons(stored)
 
 
@@ -195,29 +225,41 @@ def _patron_rows(patron_areas: DataFrame, tables: PatronTables, as_of: Day) -> D
     )
 
 
-def _totals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Aggregate rows that are unique per patron and area."""
+#: Sums over the joined rows and what they sum.
+SUMS = {
+    "total_checkouts": "checkout_total",
+    "total_renewals": "renewal_total",
+    "total_circ": "circ",
+    "total_checkouts_current": "checkout_count",
+}
+
+
+def weighted_sums() -> dict[str, Column]:
+    """Figures of a patron as the joined rows repeat them, to be summed over patrons."""
+    copies = F.col("copies")
+    return {
+        **{name: F.col(figure) * copies for name, figure in SUMS.items()},
+        "ages": F.col("age") * copies,
+        "known_ages": F.when(F.col("age").isNotNull(), copies),
+    }
 
-    def weighted(name: str) -> Column:
-        return F.sum(F.col(name) * F.col("copies"))
 
-    known_ages = F.sum(F.when(F.col("age").isNotNull(), F.col("copies")))
+def totals(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Aggregate rows that are unique per patron and area."""
+    sums = {name: F.sum(value) for name, value in weighted_sums().items()}
     return rows.groupBy(*keys, "geoid").agg(
         F.count("*").alias("total_patrons"),
-        weighted("checkout_total").alias("total_checkouts"),
-        weighted("renewal_total").alias("total_renewals"),
-        weighted("circ").alias("total_circ"),
-        weighted("checkout_count").alias("total_checkouts_current"),
+        *[sums[name].alias(name) for name in SUMS],
         F.coalesce(F.sum("distinct_holds"), F.lit(0)).alias("total_holds_current"),
-        numbers.whole_mean(weighted("age"), known_ages).alias("avg_age"),
+        numbers.whole_mean(sums["ages"], sums["known_ages"]).alias("avg_age"),
         F.count_if("is_new").alias("total_new_patrons"),
         F.count_if("is_active").alias("total_active_patrons"),
         F.count_if("is_blocked").alias("total_blocked_patrons"),
     )
 
 
-def _report(
-    totals: DataFrame, keys: list[str], url: Column, min_patrons: int | None
+def report(
+    whole: DataFrame, keys: list[str], url: Column, min_patrons: int | None
 ) -> DataFrame:
     """Totals with rates and profile address, in declared column order.
 
@@ -231,6 +273,6 @@ def _report(
         "census_reporter_url": url,
     }
     if min_patrons is not None:
-        totals = totals.where(patron_count >= min_patrons)
+        whole = whole.where(patron_count >= min_patrons)
     columns = [derived.get(name, F.col(name)).alias(name) for name in fixed.STAT_COLUMNS]
-    return totals.select(*keys, *columns).orderBy(*keys, F.desc("total_patrons"), "geoid")
+    return whole.select(*keys, *columns).orderBy(*keys, F.desc("total_patrons"), "geoid")

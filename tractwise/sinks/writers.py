@@ -1,15 +1,17 @@
-"""Partitioned outputs.
+"""Single partitioned outputs.
 
-A run owns the partitions of the libraries it is about: ``clear`` removes them before
-they are written, so a library without rows in this run keeps nothing of an earlier one.
-Other libraries and days stay. A run that fails between the two is to be run again.
+A run replaces the partitions that it has rows for when Spark commits it, so a run that fails
+leaves them as they were. A library without rows keeps its old partition; where that
+matters, or several outputs belong together, use ``versions``.
 """
 
 from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from tractwise.operators.layers import collection_lines
 
 
 def _write(frame: DataFrame, path: str, partitions: list[str], form: str) -> None:
@@ -25,20 +27,6 @@ def _write(frame: DataFrame, path: str, partitions: list[str], form: str) -> Non
     )
 
 
-def clear(spark: SparkSession, path: str, libraries: list[str], run_date: date | None) -> None:
-    """Remove the partitions of libraries, of one day if given."""
-    jvm = spark._jvm
-    escape = jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName
-    for library in libraries:
-        folder = f"{path.rstrip('/')}/library={escape(library)}"
-        if run_date is not None:
-            folder = f"{folder}/run_date={run_date}"
-        place = jvm.org.apache.hadoop.fs.Path(folder)
-        system = place.getFileSystem(spark._jsc.hadoopConfiguration())
-        if system.exists(place):
-            system.delete(place, True)
-
-
 def write_dated(frame: DataFrame, path: str, run_date: date, form: str = "parquet") -> None:
     """One partition per library and day; the same day's rerun replaces it."""
     _write(
@@ -58,3 +46,23 @@ def write_features(features: DataFrame, path: str, run_date: date | None = None)
         write_current(lines, path, "text")
     else:
         write_dated(lines, path, run_date, "text")
+
+
+def write_collections(features: DataFrame, path: str) -> None:
+    """One GeoJSON collection a library, in parts that follow each other by file name.
+
+    Lines are dealt over tasks by ranges and sorted there, so a collection may be larger than
+    a task: the files of a library, one after the other, are one document. Replaced by
+    every run; a library without features has no file.
+    """
+    order = ("library", "place", "key")
+    (
+        collection_lines(features)
+        .repartitionByRange(*order)
+        .sortWithinPartitions(*order)
+        .select("library", "value")
+        .write.mode("overwrite")
+        .option("partitionOverwriteMode", "dynamic")
+        .partitionBy("library")
+        .text(path)
+    )

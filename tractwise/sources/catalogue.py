@@ -32,14 +32,25 @@ def _tract_array(text: Column) -> Column:
     return F.array_sort(F.array_distinct(found))
 
 
+TEXT_SCHEMA = "library STRING, tracts STRING, lat DOUBLE, lon DOUBLE, zoom INT"
+
+
+def _with_tracts(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("tracts", _tract_array(F.col("tracts")))
+
+
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
     """Catalogue CSV: ``library,tracts,lat,lon,zoom``, tracts as in ``tract_list``.
 
     Blanks, commas and quotes separate tracts; a cell without any is an empty list.
     """
-    raw = spark.read.schema("library STRING, tracts STRING, lat DOUBLE, lon DOUBLE, zoom INT")
-    rows = raw.option("header", True).option("enforceSchema", False).csv(path)
-    return rows.withColumn("tracts", _tract_array(F.col("tracts")))
+    raw = spark.read.schema(TEXT_SCHEMA).option("header", True).option("enforceSchema", False)
+    return _with_tracts(raw.csv(path))
+
+
+def parse_catalogue(lines: DataFrame) -> DataFrame:
+    """``read_catalogue`` of CSV lines (``value``) without a header, from any source."""
+    return _with_tracts(lines.select(F.from_csv("value", TEXT_SCHEMA).alias("r")).select("r.*"))
 
 
 def catalogue_of(spark: SparkSession, libraries: Iterable[tuple]) -> DataFrame:

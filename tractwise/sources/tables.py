@@ -7,7 +7,7 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tractwise.sources.jdbc import jdbc_reader
+from tractwise.sources.jdbc import jdbc_ranges, jdbc_reader, key_predicates
 from tractwise.sources.schemas import TABLES, UNIQUE_KEYS
 
 
@@ -74,6 +74,7 @@ def jdbc_tables(
     num_partitions: int,
     partition_columns: Mapping[str, str] | None = None,
     unique_holds: bool = False,
+    cuts: Mapping[str, list[int]] | None = None,
     **options: str,
 ) -> PatronTables:
     """Read the tables from PostgreSQL in ``num_partitions`` ranges each.
@@ -82,11 +83,17 @@ def jdbc_tables(
     other tables by patron, unless ``partition_columns`` names another column, which
     need not be one of the columns read. ``bounds`` gives the lowest and highest value
     of that column per table. They only set the stride: rows outside still fall into
-    the first and last range.
+    the first and last range. A table with ``cuts`` (see ``jdbc.key_cuts``) is read in ranges
+    between these instead, and needs no bounds.
     """
     columns = {"hold": "id", **(partition_columns or {})}
     frames = {}
     for name, (schema, key) in TABLES.items():
+        if name in (cuts or {}):
+            ranges = key_predicates(columns.get(name, key), cuts[name])
+            frame = jdbc_ranges(spark, url, f"{schema_name}.{name}", ranges, **options)
+            frames[name] = frame.select(*schema.fieldNames())
+            continue
         reader = jdbc_reader(
             spark,
             url,

@@ -17,9 +17,17 @@ _LEVEL_CODES = (
     ("block_group", 12, "15000US"),
 )
 _METRIC_ORDER = (
-    "total_patrons estimated_population pct_cardholders total_checkouts checkouts_per_patron"
-    " total_new_patrons total_active_patrons pct_active total_blocked_patrons pct_blocked"
-).split()
+    "total_patrons",
+    "estimated_population",
+    "pct_cardholders",
+    "total_checkouts",
+    "checkouts_per_patron",
+    "total_new_patrons",
+    "total_active_patrons",
+    "pct_active",
+    "total_blocked_patrons",
+    "pct_blocked",
+)
 
 _TODAY = f"DATE '{AS_OF}'"
 _CLEAN = "regexp_replace(field_content, '[|][sctb]', '', 'g')"
@@ -128,13 +136,30 @@ _METRICS = f"""
 SELECT *, CAST(value_text AS DOUBLE) AS value,
  '<b>' || geographic_area_name || '</b><br>Total: ' || value_text || '<extra></extra>' AS label
 FROM ({_LONG}) m"""
+# Properties of a feature, in order.
 _PROPERTIES = (
-    "geoid total_patrons total_checkouts total_renewals total_circ total_checkouts_current"
-    " total_holds_current avg_age total_new_patrons total_active_patrons pct_active"
-    " total_blocked_patrons pct_blocked checkouts_per_patron census_reporter_url"
-    " geographic_area_name estimated_population households pct_cardholders namelsad"
-    " households_boundary"
-).split()
+    "geoid",
+    "total_patrons",
+    "total_checkouts",
+    "total_renewals",
+    "total_circ",
+    "total_checkouts_current",
+    "total_holds_current",
+    "avg_age",
+    "total_new_patrons",
+    "total_active_patrons",
+    "pct_active",
+    "total_blocked_patrons",
+    "pct_blocked",
+    "checkouts_per_patron",
+    "census_reporter_url",
+    "geographic_area_name",
+    "estimated_population",
+    "households",
+    "pct_cardholders",
+    "namelsad",
+    "households_boundary",
+)
 
 
 def _level_stats(level: str) -> str:
@@ -151,6 +176,41 @@ ORACLE: dict[str, str] = {
     "boundary_lines": _with(
         "SELECT geoid, NAMELSAD AS namelsad, CAST(substr(geoid, 6, 6) AS BIGINT) AS aland, geometry_json FROM boundary"
     ),
+    "population_kept": _with(
+        "SELECT geoid, geographic_area_name, estimated_population, CAST(households AS VARCHAR) AS households FROM population"
+    ),
+    "population_rejected": _with(
+        "SELECT geoid || ',few' AS value, 'number of cells' AS reason FROM population WHERE estimated_population % 5 = 0"
+        " UNION ALL SELECT geoid || ',many,1,2,3', 'number of cells' FROM population WHERE estimated_population % 5 = 1"
+        " UNION ALL SELECT geoid || ',text,12x,1', 'estimated_population is no bigint' FROM population"
+        " WHERE estimated_population % 5 = 2"
+        " UNION ALL SELECT ',no id,' || estimated_population || ',1', 'no geoid' FROM population"
+        " WHERE estimated_population % 5 = 3"
+    ),
+    "boundary_kept": _with(
+        "SELECT geoid, NAMELSAD AS namelsad, CAST(substr(geoid, 6, 6) AS BIGINT) AS aland, geometry_json FROM boundary"
+    ),
+    "boundary_rejected": _with(
+        "SELECT geoid || '{' AS value, 'no feature with properties' AS reason FROM boundary WHERE geoid LIKE '%1'"
+        """ UNION ALL SELECT '{"type":"Feature","properties":{"GEOID":"' || geoid || '","ALAND":"wide"},"geometry":null}',"""
+        " 'a property has another type' FROM boundary WHERE geoid LIKE '%2'"
+        """ UNION ALL SELECT '{"type":"Feature","properties":{"NAMELSAD":"' || geoid || '","ALAND":7},"geometry":null}',"""
+        " 'no geoid' FROM boundary WHERE geoid LIKE '%3'"
+    ),
+    "catalogue_lines": _with(
+        "SELECT library, tract, lat, lon, zoom FROM service_area JOIN map_view USING (library)", **_LAYER
+    ),
+    "catalogue_problems": _with(
+        "SELECT 'shared' AS problem, library, tract, coalesce(fields, 0) AS fields FROM moved LEFT JOIN named USING (tract)"
+        " WHERE tract IN (SELECT tract FROM moved GROUP BY tract HAVING COUNT(*) > 1)"
+        " UNION ALL SELECT 'empty', library, tract, 0 FROM moved WHERE tract NOT IN (SELECT tract FROM named)"
+        " UNION ALL SELECT 'unserved', NULL, tract, fields FROM named WHERE tract NOT IN (SELECT tract FROM moved)",
+        moved=(
+            "SELECT DISTINCT library, CASE tract WHEN '381300' THEN '381100' WHEN '381600' THEN '999999' ELSE tract END AS tract"
+            " FROM service_area WHERE tract <> '382000'"
+        ),
+        named="SELECT substr(code, 6, 6) AS tract, COUNT(*) AS fields FROM census GROUP BY ALL",
+    ),
     "key_violations": _with(
         "SELECT 'patron_record' AS \"table\", id, COUNT(*) AS times FROM patron_record GROUP BY id HAVING COUNT(*) > 1"
         " UNION ALL SELECT 'record_metadata', id, COUNT(*) FROM record_metadata GROUP BY id HAVING COUNT(*) > 1"
@@ -194,6 +254,10 @@ ORACLE: dict[str, str] = {
     "patron_stats_repeated_keys": _with(
         _stats("joined", "", "substr(code, 1, 12)", "'15000US'"), **REPEATED
     ),
+    "patron_stats_stored": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
+    "patron_stats_indexed": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
+    "patron_stats_indexed_tract": _with(_stats(_ASIA, "", "substr(code, 1, 11)", "'14000US'")),
+    "patron_refresh": _level_stats("block_group"),
     "patron_stats_tract": _level_stats("tract"),
     "patron_stats_county": _level_stats("county"),
     "patron_stats_state": _level_stats("state"),
@@ -252,3 +316,19 @@ ORACLE: dict[str, str] = {
         **_LAYER,
     ),
 }
+
+ORACLE["feature_collection"] = _with(
+    "SELECT geoid, total_patrons, pct_cardholders, namelsad, geometry_json FROM layer", **_LAYER
+)
+ORACLE.update(
+    {
+        f"published_{output}": f"SELECT *, {_TODAY} AS run_date FROM ({ORACLE[query]}) p"
+        for output, query in (
+            ("stats", "patron_stats_all_libraries"),
+            ("dual", "dual_layer"),
+            ("metrics", "metric_long"),
+        )
+    }
+)
+ORACLE["published_cardholder"] = ORACLE["cardholder_layer"]
+ORACLE["published_features"] = f"SELECT library, feature AS value FROM ({ORACLE['geojson_features']}) p"

@@ -10,10 +10,13 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import tractwise
 from tractwise.functions import codes, fixed, patrons
 from tractwise.functions.labels import render
-from tractwise.operators import areas, facts, layers
-from tractwise.sources.catalogue import map_views, service_area_tracts
+from tractwise.operators import areas, checks, facts, layers
+from tractwise.plans import area_index, jobs, refresh
+from tractwise.sinks import writers
+from tractwise.sources import files
+from tractwise.sources.catalogue import map_views, parse_catalogue, service_area_tracts
 from tractwise.sources.files import lower_names
-from verification import views
+from verification import scratch, views
 from verification.views import AS_OF, ASIA_TRACTS
 
 MIN_PATRONS = 15
@@ -48,6 +51,48 @@ def boundary_lines(spark, sf_dir):
     return tractwise.parse_boundary_features(lines, "GEOID STRING, NAMELSAD STRING, ALAND BIGINT")
 
 
+def catalogue_lines(spark, sf_dir):
+    parsed = parse_catalogue(views.view(spark, sf_dir, "catalogue_lines"))
+    return parsed.select("library", F.explode("tracts").alias("tract"), "lat", "lon", "zoom")
+
+
+def catalogue_problems(spark, sf_dir):
+    """The catalogue of the nations and that of the customers' tracts, some of them moved."""
+    moved = F.when(F.col("tract") == "381300", "381100").when(F.col("tract") == "381600", "999999")
+    served = views.view(spark, sf_dir, "service_area").withColumn(
+        "tract", F.coalesce(moved, F.col("tract"))
+    )
+    served = served.where(F.col("tract") != "382000")
+    grouped = served.groupBy("library").agg(F.collect_list("tract").alias("tracts"))
+    return checks.catalogue_problems(grouped, views.view(spark, sf_dir, "varfield"))
+
+
+def _split_population(spark, sf_dir):
+    lines = views.view(spark, sf_dir, "faulty_population_lines")
+    return files.split_population(lines, views.POPULATION_HEADER)
+
+
+def population_kept(spark, sf_dir):
+    return _split_population(spark, sf_dir)[0]
+
+
+def population_rejected(spark, sf_dir):
+    return _split_population(spark, sf_dir)[1]
+
+
+def _split_boundary(spark, sf_dir):
+    lines = views.view(spark, sf_dir, "faulty_boundary_lines")
+    return files.split_boundary_features(lines, "GEOID STRING, NAMELSAD STRING, ALAND BIGINT")
+
+
+def boundary_kept(spark, sf_dir):
+    return _split_boundary(spark, sf_dir)[0]
+
+
+def boundary_rejected(spark, sf_dir):
+    return _split_boundary(spark, sf_dir)[1]
+
+
 def key_violations(spark, sf_dir):
     return tractwise.key_violations(views.tables(spark, sf_dir, repeated=True))
 
@@ -151,6 +196,34 @@ def patron_stats_repeated_keys(spark, sf_dir):
     return tractwise.patron_stats_direct(views.tables(spark, sf_dir, repeated=True), as_of=AS_OF)
 
 
+def patron_stats_stored(spark, sf_dir):
+    path = scratch.folder(spark, "patrons")
+    return tractwise.patron_stats(views.tables(spark, sf_dir), ASIA_TRACTS, AS_OF, store_at=path)
+
+
+def _index(spark, sf_dir):
+    path = f"{scratch.folder(spark, 'index')}/patrons"
+    area_index.build_area_index(views.tables(spark, sf_dir), path)
+    return area_index.read_area_index(spark, path)
+
+
+def patron_stats_indexed(spark, sf_dir):
+    return area_index.indexed_stats(_index(spark, sf_dir), ASIA_TRACTS, AS_OF)
+
+
+def patron_stats_indexed_tract(spark, sf_dir):
+    return area_index.indexed_stats(_index(spark, sf_dir), ASIA_TRACTS, AS_OF, "tract")
+
+
+def patron_refresh(spark, sf_dir):
+    """State of an earlier day, brought up to date by the changes since."""
+    root = scratch.folder(spark, "state")
+    before, after = (views.tables(spark, sf_dir, earlier=earlier) for earlier in (True, False))
+    refresh.start(before, root)
+    refresh.refresh(refresh.signed_changes(before, after), root)
+    return refresh.totals_stats(refresh.read_totals(spark, root), AS_OF)
+
+
 def stats_at(level: str) -> Query:
     def query(spark, sf_dir):
         return tractwise.patron_stats(views.tables(spark, sf_dir), as_of=AS_OF, level=level)
@@ -248,11 +321,49 @@ def unmatched_areas(spark, sf_dir):
     )
 
 
+def feature_collection(spark, sf_dir):
+    """Features written as collections, read back and split into features."""
+    path = scratch.folder(spark, "collections")
+    writers.write_collections(geojson_features(spark, sf_dir), path)
+    lines = files.read_feature_collection(spark, path)
+    names = "geoid STRING, total_patrons BIGINT, pct_cardholders DOUBLE, namelsad STRING"
+    found = files.parse_boundary_features(lines.select("value"), names)
+    return found
+
+
+def published(output: str) -> Query:
+    """An output that was published for a day, and once more for the same day."""
+
+    def query(spark, sf_dir):
+        root = scratch.folder(spark, "published")
+        inputs = (
+            views.tables(spark, sf_dir),
+            views.catalogue(spark, sf_dir),
+            views.view(spark, sf_dir, "boundary"),
+            population_scan(spark, sf_dir),
+        )
+        outputs = (output,) if output in jobs.LAYERS else ()
+        for least in (MIN_PATRONS, None):
+            tractwise.publish(
+                *inputs, root=root, run_date=AS_OF, outputs=outputs, min_patrons=least
+            )
+        form = "text" if output == "features" else "parquet"
+        return tractwise.read_published(spark, root, output, form=form)
+
+    return query
+
+
 QUERIES: dict[str, Query] = {
     "population_scan": population_scan,
     "boundary_scan": boundary_scan,
     "population_lines": population_lines,
     "boundary_lines": boundary_lines,
+    "population_kept": population_kept,
+    "population_rejected": population_rejected,
+    "boundary_kept": boundary_kept,
+    "boundary_rejected": boundary_rejected,
+    "catalogue_lines": catalogue_lines,
+    "catalogue_problems": catalogue_problems,
     "key_violations": key_violations,
     "service_area_tracts": service_area,
     "service_area_views": service_area_views,
@@ -273,6 +384,10 @@ QUERIES: dict[str, Query] = {
     "patron_stats_distinct_holds": patron_stats_distinct_holds,
     "patron_stats_direct": patron_stats_direct,
     "patron_stats_repeated_keys": patron_stats_repeated_keys,
+    "patron_stats_stored": patron_stats_stored,
+    "patron_stats_indexed": patron_stats_indexed,
+    "patron_stats_indexed_tract": patron_stats_indexed_tract,
+    "patron_refresh": patron_refresh,
     "patron_stats_tract": stats_at("tract"),
     "patron_stats_county": stats_at("county"),
     "patron_stats_state": stats_at("state"),
@@ -290,4 +405,6 @@ QUERIES: dict[str, Query] = {
     "dual_layer": dual_layer,
     "metric_long": metric_long,
     "geojson_features": geojson_features,
+    "feature_collection": feature_collection,
+    **{f"published_{name}": published(name) for name in ("stats", *jobs.LAYERS)},
 }

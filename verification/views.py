@@ -96,8 +96,51 @@ FROM ({VIEWS["population"]}) p""",
 SELECT '{{"type":"Feature","properties":{{"GEOID":"' || geoid || '","NAMELSAD":"' || NAMELSAD || '","ALAND":' || substr(geoid, 6, 6) || '}},"geometry":' || geometry_json || '}}' AS value
 FROM ({VIEWS["boundary"]}) b""",
 }
+LINES["catalogue_lines"] = f"""
+SELECT library || ',"' || string_agg(chr(39) || tract || chr(39), ', ') || '",'
+ || CASE WHEN r_regionkey > 0 THEN CAST(r_regionkey + 42.25 AS VARCHAR(8)) || ',' || CAST(-71.5 - r_regionkey AS VARCHAR(8)) || ',11' ELSE ',,' END AS value
+FROM ({VIEWS["service_area"]}) s GROUP BY library, r_regionkey"""
+#: Lines that cannot be read among those that can, made of the same rows.
+LINES["faulty_population_lines"] = f"""
+{LINES["population_lines"]}
+UNION ALL SELECT geoid || ',few' FROM ({VIEWS["population"]}) a WHERE estimated_population % 5 = 0
+UNION ALL SELECT geoid || ',many,1,2,3' FROM ({VIEWS["population"]}) b WHERE estimated_population % 5 = 1
+UNION ALL SELECT geoid || ',text,12x,1' FROM ({VIEWS["population"]}) c WHERE estimated_population % 5 = 2
+UNION ALL SELECT ',no id,' || CAST(estimated_population AS VARCHAR(20)) || ',1' FROM ({VIEWS["population"]}) d WHERE estimated_population % 5 = 3"""
+LINES["faulty_boundary_lines"] = f"""
+{LINES["boundary_lines"]}
+UNION ALL SELECT geoid || '{{' FROM ({VIEWS["boundary"]}) a WHERE geoid LIKE '%1'
+UNION ALL SELECT '{{"type":"Feature","properties":{{"GEOID":"' || geoid || '","ALAND":"wide"}},"geometry":null}}' FROM ({VIEWS["boundary"]}) c WHERE geoid LIKE '%2'
+UNION ALL SELECT '{{"type":"Feature","properties":{{"NAMELSAD":"' || geoid || '","ALAND":7}},"geometry":null}}' FROM ({VIEWS["boundary"]}) d WHERE geoid LIKE '%3'"""
 VIEWS.update(LINES)
 
+#: The tables of an earlier day: patrons that have come since are missing, some that have gone
+#: are there, and figures, dates, addresses, holds and fields differ.
+EARLIER = {
+    "patron_record": f"""
+SELECT id, CASE WHEN id % 7 = 0 THEN checkout_total + 5 ELSE checkout_total END AS checkout_total, renewal_total, checkout_count,
+ CASE WHEN id % 14 = 0 THEN DATE '1950-02-28' ELSE birth_date_gmt END AS birth_date_gmt, activity_gmt,
+ CASE WHEN id % 21 = 0 THEN 'b' ELSE mblock_code END AS mblock_code, owed_amt
+FROM ({VIEWS["patron_record"]}) p WHERE id % 10 <> 3
+UNION ALL SELECT -id, checkout_total, renewal_total, checkout_count, birth_date_gmt, activity_gmt, mblock_code, owed_amt
+FROM ({VIEWS["patron_record"]}) q WHERE id % 97 = 0 AND id > 0""",
+    "record_metadata": f"""
+SELECT id, CASE WHEN id % 13 = 0 THEN CAST(DATE '1999-09-09' AS TIMESTAMP) ELSE creation_date_gmt END AS creation_date_gmt
+FROM ({VIEWS["record_metadata"]}) m WHERE id % 10 <> 3
+UNION ALL SELECT -id, creation_date_gmt FROM ({VIEWS["record_metadata"]}) n WHERE id % 97 = 0 AND id > 0""",
+    "patron_record_address": f"""
+SELECT * FROM ({VIEWS["patron_record_address"]}) a WHERE patron_record_id % 11 <> 2
+UNION ALL SELECT -patron_record_id, patron_record_address_type_id FROM ({VIEWS["patron_record_address"]}) b WHERE patron_record_id % 97 = 0 AND patron_record_id > 0
+UNION ALL SELECT patron_record_id, '1' FROM ({VIEWS["patron_record_address"]}) c WHERE patron_record_id % 59 = 0""",
+    "hold": f"""
+SELECT * FROM ({VIEWS["hold"]}) h WHERE id % 4 <> 1
+UNION ALL SELECT -id, patron_record_id FROM ({VIEWS["hold"]}) g WHERE id % 5 = 0 AND id > 0""",
+    "varfield": f"""
+SELECT record_id, varfield_type_code, CASE WHEN record_id % 9 = 0 THEN replace(field_content, '|b1', '|b2') ELSE field_content END AS field_content
+FROM ({VIEWS["varfield"]}) v WHERE record_id % 8 <> 5
+UNION ALL SELECT -record_id, varfield_type_code, field_content FROM ({VIEWS["varfield"]}) w WHERE record_id % 97 = 0 AND record_id > 0""",
+}
+
 #: The same tables with keys that repeat: patrons and metadata twice, holds under several patrons.
 REPEATED = {
     "patron_record": f"""
@@ -125,10 +168,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(VIEWS[name])
 
 
-def tables(spark: SparkSession, sf_dir: str, repeated: bool = False) -> PatronTables:
+def tables(
+    spark: SparkSession, sf_dir: str, repeated: bool = False, earlier: bool = False
+) -> PatronTables:
     """The five tables. Holds are orders, which have unique keys unless ``repeated``."""
     names = ("patron_record", "patron_record_address", "record_metadata", "hold", "varfield")
-    texts = {**VIEWS, **REPEATED} if repeated else VIEWS
+    texts = {**VIEWS, **REPEATED} if repeated else {**VIEWS, **EARLIER} if earlier else VIEWS
     _register(spark, sf_dir, [texts[name] for name in names])
     return PatronTables(
         **{name: spark.sql(texts[name]) for name in names}, unique_holds=not repeated
