@@ -15,18 +15,20 @@ import base64
 import functools
 import hashlib
 import re
-from collections.abc import Iterable
-from itertools import chain
+import struct
+from collections.abc import Callable, Iterable
 
 import ahocorasick
+import numpy as np
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tractwise.llm.common import map_arrow
 
-#: Pieces and units are remembered up to this length and number.
-MEMO_CHARS, MEMO_ENTRIES = 48, 1 << 18
+#: Strings are remembered up to this length; this many in each of two generations, some 200
+#: bytes each, so 200 MB a worker. And how many pairs of tokens.
+MEMO_CHARS, MEMO_ENTRIES, MEMO_PAIRS = 48, 1 << 19, 1 << 18
 
 #: White space as the tokenizer's pattern takes it (Unicode's White_Space).
 SPACE = r"\t\n\x0b\x0c\r\x20\x85\xa0  -     　"
@@ -116,7 +118,7 @@ class Vocabulary:
 
     def compatible(self, left: int, right: int) -> bool:
         """May ``right`` follow ``left``? Remembered for each pair."""
-        if len(self.compatible_memo) >= MEMO_ENTRIES:
+        if len(self.compatible_memo) >= MEMO_PAIRS:
             self.compatible_memo.clear()
         apart = self.compatible_memo[left, right] = self._apart(left, right)
         return apart
@@ -160,45 +162,67 @@ class Vocabulary:
         return tuple(found)
 
 
+#: A word of Latin-1 letters with the blank before it, and signs behind it: two pieces.
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+WORD_AND_SIGNS = re.compile(f"( ?[{LETTERS}]+)([.,;:!?]+)")
+
+
+def packed(ids: tuple[int, ...]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Memo(dict):
+    """Packed ids by string; works out what it lacks and keeps it unless it is long."""
+
+    def __init__(self, ids_of: Callable[[str], bytes]):
+        super().__init__()
+        self.ids_of = ids_of
+
+    def __missing__(self, part: str) -> bytes:
+        ids = self.ids_of(part)
+        if len(part) <= MEMO_CHARS:
+            self[part] = ids
+        return ids
+
+
 class ByteBpe:
-    """Encodes and decodes texts; remembers units of text and their ids."""
+    """Encodes and decodes texts; remembers strings and their ids in two generations.
+
+    Units of a text are looked up in the newer generation, then in the older; when the newer
+    one is full it becomes the older one. A unit of several pieces is made of their ids, which
+    are remembered alike.
+    """
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         # \s as the public library takes it; Python's also has control characters
         self.pieces = regex.compile(pattern.replace(r"[^\s", f"[^{SPACE}"))
         self.units = re.compile(UNITS)
-        self.memo: dict[str, tuple[int, ...]] = {}
-        self.piece_memo: dict[str, tuple[int, ...]] = {}
-
-    def _piece(self, piece: str) -> tuple[int, ...]:
-        ids = self.piece_memo.get(piece)
-        if ids is None:
-            ids = self.vocabulary.encode_piece(piece.encode())
-            if len(piece) <= MEMO_CHARS:
-                self.piece_memo[piece] = ids
+        # does the pattern cut between a word and signs, and nowhere in either?
+        self.plain = self.pieces.findall(" abé.,;:!?") == [" abé", ".,;:!?"]
+        self.memo = Memo(self._ids)
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, part: str) -> bytes:
+        """Ids of a unit or piece that is not in the newer generation."""
+        known = self.older.get(part)
+        if known is not None:
+            return known
+        two = WORD_AND_SIGNS.fullmatch(part) if self.plain else None
+        pieces = two.groups() if two else self.pieces.findall(part)
+        if len(pieces) == 1:
+            return packed(self.vocabulary.encode_piece(part.encode()))
+        return b"".join(map(self.memo.__getitem__, pieces))
+
+    def encode_packed(self, text: str | None) -> bytes:
+        """Ids as little-endian unsigned 32-bit integers."""
+        ids = b"".join(map(self.memo.__getitem__, self.units.findall(text or "")))
+        if len(self.memo) > MEMO_ENTRIES:
+            self.older, self.memo = self.memo, Memo(self._ids)
         return ids
 
-    def _unit(self, unit: str) -> tuple[int, ...]:
-        if unit.isspace():
-            return self._piece(unit)
-        return tuple(chain.from_iterable(map(self._piece, self.pieces.findall(unit))))
-
     def encode(self, text: str | None) -> list[int]:
-        units = self.units.findall(text or "")
-        memo = self.memo
-        missing = set(units).difference(memo)
-        for unit in missing:
-            memo[unit] = self._unit(unit)
-        ids = list(chain.from_iterable(map(memo.__getitem__, units)))
-        for unit in missing:
-            if len(unit) > MEMO_CHARS:
-                del memo[unit]
-        if len(memo) > MEMO_ENTRIES:
-            memo.clear()
-        if len(self.piece_memo) > MEMO_ENTRIES:
-            self.piece_memo.clear()
-        return ids
+        return np.frombuffer(self.encode_packed(text), "<u4").tolist()
 
     def decode(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.vocabulary.bytes_of.__getitem__, ids))
@@ -241,7 +265,7 @@ def round_trip(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         text_of = {rank: str(rank) for rank in bpe.vocabulary.bytes_of}
 
         def one(text: str | None) -> tuple[int, str, str]:
-            ids = bpe.encode(text)
+            ids = np.frombuffer(bpe.encode_packed(text), "<u4").tolist()
             digits = ",".join(map(text_of.__getitem__, ids)).encode()
             back = bpe.decode(ids)
             return len(ids), hashlib.sha256(digits).hexdigest(), hashlib.sha256(back).hexdigest()
