@@ -10,7 +10,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from tractwise.llm import byte_bpe, compression, cross_parse, ftrl, token_files
+from tractwise.llm import byte_bpe, compression, cross_parse, ftrl, token_files, vocab
 from tractwise.llm.common import shared_folder
 from tractwise.llm.dac import Codes, pack
 from tractwise.llm.queries import BYTE_RANKS, QUERIES, WORD_TOKENIZER
@@ -53,10 +53,41 @@ def test_codes_read_any_place(size):
         codes[size]
 
 
+LIBRARY = Tokenizer.from_file(WORD_TOKENIZER)
+
+
 def plain_ids(text):
-    tokenizer = Tokenizer.from_file(WORD_TOKENIZER)
-    tokenizer.encode_special_tokens = True
-    return [*tokenizer.encode(text or "", add_special_tokens=False).ids, 1]
+    return [*LIBRARY.encode(text or "", add_special_tokens=False).ids, 1]
+
+
+def test_word_encoder_equals_the_library_on_any_text():
+    rng = random.Random(9)
+    markers = ["<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endoftext |>"]
+    parts = [*markers, "Word", "WORD,", "don't", "it'S", "12.5", "é", "e\u0301", "É!?", "日本", " ", "\t", "\n\n"]
+    parts += ["\x1c", "\x1d", "\x85", "\xa0", "\u2003", "\u3000", "ß", "İ", "ﬁ", "🙂", "_", "<|", "|>", "a"]
+    assert LIBRARY.encode("<|endoftext|> a", add_special_tokens=False).ids == [49407, 320]
+    encoder = vocab.WordEncoder(WORD_TOKENIZER)
+    assert encoder.wordwise
+    for _ in range(4000):
+        text = "".join(rng.choices(parts, k=rng.randint(0, 12)))
+        assert [*np.frombuffer(encoder.encode(text), "<u4").tolist(), 1] == plain_ids(text), text
+
+
+def test_other_tokenizers_encode_whole_texts():
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, library = vocab.WordEncoder(path), Tokenizer.from_file(path)
+    assert not encoder.wordwise
+    for text in ODD[2:7]:
+        ids = np.frombuffer(encoder.encode(text), "<u4").tolist()
+        assert ids == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_the_older_generation(monkeypatch):
+    monkeypatch.setattr(vocab, "MEMO_WORDS", 3)
+    encoder = vocab.WordEncoder(WORD_TOKENIZER)
+    for text in ["One two, three four", "one TWO three.", "five six seven", "one two"] * 3:
+        assert [*np.frombuffer(encoder.encode(text), "<u4").tolist(), 1] == plain_ids(text)
+        assert len(encoder.memo) <= 8
 
 
 def crc(ids):
