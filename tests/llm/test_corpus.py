@@ -237,11 +237,72 @@ def test_url_query_keeps_fixed_rules(spark):
         assert row.verdict in ("allow", "block") and verdict in (None, row.verdict)
 
 
+def plain_tokens(url):
+    host, path, _, _ = plain_url(url)
+    rest = (url or "").split("://", 1)[-1] if "://" in (url or "") else ""
+    rest = re.sub("^[^?#]*", "", rest)
+    names = re.findall("[?&]([^=&#]*)", rest)
+    fragment = rest.split("#", 1)[1] if "#" in rest else ""
+    kinds = {"host": host.split("."), "path": path.split("/"), "query": names, "fragment": [fragment]}
+    return {f"{k}:{re.sub('[0-9]+', '0', v)}" for k, vs in kinds.items() for v in vs if v}
+
+
+def plain_mined(labelled, mining):
+    """Combinations that mark bad pages, by counting every combination of every page."""
+    labelled = [(sorted(tokens), bad) for tokens, bad in labelled if tokens]
+    count, bad_count = len(labelled), sum(bad for _, bad in labelled)
+    seen, bad_seen = Counter(), Counter()
+    for tokens, bad in labelled:
+        for size in range(1, len(tokens) + 1):
+            for some in itertools.combinations(tokens, size):
+                seen[some] += 1
+                bad_seen[some] += bad
+    base, z, rules = bad_count / count, mining.z, {}
+    for some, n in seen.items():
+        bad = bad_seen[some]
+        share = bad / n
+        if bad < max(mining.support * count, mining.pages) or share < base:
+            continue
+        margin = z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5
+        if (share + z * z / (2 * n) - margin) / (1 + z * z / n) > base:
+            rules[frozenset(some)] = (bad / count, share, share / base)
+    return {k: v for k, v in rules.items() if not any(other < k for other in rules)}
+
+
+def test_mined_rules_equal_a_plain_miner(spark):
+    """Rules of the given labels, and every verdict that follows from them."""
+    found = QUERIES["op4_url_rules"](spark, "/root/testdata/sf0.1").collect()
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet").select("page_id", "url").collect()
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()
+    bad = {label.doc_id: label.quality == 0 or label.toxic == 1 for label in labels}
+    labelled = [(plain_tokens(p.url), bad[p.page_id]) for p in pages if p.page_id in bad]
+    rules = plain_mined(labelled, url_rules.Mining())
+    assert rules
+    urls = {page.page_id: page.url for page in pages}
+    used = set()
+    for row in found:
+        tokens = plain_tokens(urls[row.page_id])
+        fits = {rule: known for rule, known in rules.items() if rule <= tokens}
+        assert (row.mined_rule is not None) == bool(fits)
+        if fits:
+            rule = frozenset(row.mined_rule.split(" "))
+            used.add(rule)
+            assert max(known[1] for known in fits.values()) == pytest.approx(row.confidence)
+            known = (row.support, row.confidence, row.lift)
+            assert known == pytest.approx(fits[rule])
+        if row.rule is None:
+            assert row.verdict == ("block" if fits else "allow")
+    assert used and any(r.verdict == "block" and r.rule is None for r in found)
+
+
 def test_mined_rules_block_what_labels_show(spark):
     odd = [None, "", "none", "x://", "http://COM/", "http://a.com", "ftp://b.net/es/1?q#f", "://com/"]
     urls = [f"http://h{i % 7}.org/{'casino' if i % 3 == 0 else 'news'}/{i}" for i in range(300)]
     rows = list(enumerate(urls + odd)) + [(0, urls[0]), (None, urls[0]), (None, None)]
-    pages = spark.createDataFrame([(*r, "t", "x") for r in rows], "page_id long, url string, tokens string, host string")
+    pages = spark.createDataFrame(
+        [(*r, "t", "x", "v", 0.5) for r in rows],
+        "page_id long, url string, tokens string, host string, verdict string, lift double",
+    )
     labels = spark.createDataFrame(
         [(i, i % 3 == 0) for i in range(200)] + [(1, None), (None, True), (3, False)],
         "page_id long, bad boolean",
@@ -253,7 +314,10 @@ def test_mined_rules_block_what_labels_show(spark):
         host, path, rule, verdict = plain_url(url)
         mined = "block" if url and "/casino/" in url else "allow"
         expected[page_id, host, path, rule, verdict or mined] += 1
-    assert Counter(map(tuple, found)) == expected
+    assert Counter(tuple(row)[:5] for row in found) == expected
+    assert {row.mined_rule for row in found} == {None, "path:casino"}
+    few = url_rules.Mining(tokens=0)
+    assert {r.mined_rule for r in url_rules.judged(pages, labels, URL_RULES, few).collect()} == {None}
     none = labels.limit(0)
     assert {r.verdict for r in url_rules.judged(pages.limit(9), none, URL_RULES).collect()} == {"allow"}
     assert url_rules.judged(pages.limit(0), labels, URL_RULES).count() == 0

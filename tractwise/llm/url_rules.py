@@ -3,7 +3,9 @@
 A URL becomes a set of tokens: parts of the host, segments of the path, names in the
 query, the fragment. FP-growth finds combinations of tokens that are frequent among
 labelled pages, and rules "combination -> bad" that are frequent and reliable enough
-block a URL. Rules that need more than a shorter rule needs are left out.
+block a URL. How reliable that is, is measured against the share of bad pages among all
+labelled ones: the lower bound (Wilson) of a rule's confidence must lie above it. Rules that
+need more than a shorter rule needs are left out.
 
 To match, each rule is filed under its rarest token, and each distinct URL looks up its
 own tokens; the other tokens of a rule are then compared as sets. So a token that stands
@@ -14,7 +16,7 @@ DataFrame and SQL functions only.
 Nulls: a null URL, or one without ``://``, has empty host and path, no tokens, and is
 allowed unless a rule says otherwise. Labels that are null are ignored; a page with
 several labels is bad if one says so. Repeated rows get equal verdicts. Without labels
-there are no rules; an empty table gives an empty result.
+there are no rules; an empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -45,14 +47,15 @@ class Rule:
 
 @dataclass(frozen=True)
 class Mining:
-    """Least share and number of labelled pages with a combination, least share of bad ones
-    among them, least number of times this exceeds the share among all, most tokens."""
+    """Which rules count: least share and number of labelled pages that have a combination
+    and are bad, least confidence, z of its lower bound, which must exceed the share of bad
+    pages among all, and most tokens (None: any number)."""
 
     support: float = 0.005
-    pages: int = 20
-    confidence: float = 0.8
-    lift: float = 2.0
-    tokens: int = 4
+    pages: int = 10
+    confidence: float = 0.0
+    z: float = 2.33
+    tokens: int | None = None
 
 
 def with_parts(pages: DataFrame) -> DataFrame:
@@ -106,29 +109,47 @@ def fixed_rule(rules: tuple[Rule, ...], name: bool) -> Column:
     return chosen
 
 
+#: What is known of a mined rule: its tokens as text, the share of labelled pages that have
+#: them and are bad, the share of bad ones among those that have them, and how many times
+#: this is the share among all.
+MINED = ("mined_rule", "support", "confidence", "lift")
+
+
 def mined(labelled: DataFrame, mining: Mining) -> DataFrame:
-    """(rule, tokens, key): combinations of tokens that mark bad pages; ``key`` is the rarest.
+    """(rule, tokens, key, support, confidence, lift): combinations of tokens that mark bad
+    pages; ``key`` is the rarest of them.
 
     ``labelled`` has ``tokens`` and ``bad``. The number of rules is bounded by the support,
     not by the number of pages.
     """
     spark = labelled.sparkSession
-    none = spark.createDataFrame([], "rule long, tokens array<string>, key string")
-    baskets = labelled.filter(F.size("tokens") > 0).select(
-        F.concat("tokens", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())).alias(
-            "items"
-        )
+    kind = "rule long, tokens array<string>, support double, confidence double, lift double"
+    none = spark.createDataFrame([], f"{kind}, key string")
+    baskets = stored(
+        labelled.filter(F.size("tokens") > 0).select(
+            F.concat(
+                "tokens", F.when(F.col("bad"), F.array(F.lit(BAD))).otherwise(F.array())
+            ).alias("items"),
+            "bad",
+        ),
+        "baskets",
     )
-    count = baskets.count()
-    if count < mining.pages:
+    count, bad = baskets.agg(F.count("*"), F.count_if("bad")).first()
+    if not bad or bad < mining.pages:
         return none
+    base, z = bad / count, mining.z
     support = max(mining.support, mining.pages / count)
-    model = FPGrowth(minSupport=support, minConfidence=mining.confidence).fit(baskets)
+    model = FPGrowth(minSupport=support, minConfidence=max(mining.confidence, base)).fit(baskets)
+    share = F.col("confidence")
+    n = F.col("support") * count / share
+    margin = F.sqrt(share * (1 - share) / n + z * z / (4 * n * n)) * z
+    bound = (share + z * z / (2 * n) - margin) / (1 + z * z / n)
+    found = model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
+    if mining.tokens is not None:
+        found = found.filter(F.size("antecedent") <= mining.tokens)
     rules = stored(
-        model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
-        .filter((F.col("lift") >= mining.lift) & (F.size("antecedent") <= mining.tokens))
-        .select(F.array_sort("antecedent").alias("tokens"))
-        .distinct()
+        found.filter(bound > base)
+        .select(F.array_sort("antecedent").alias("tokens"), "support", "confidence", "lift")
         .withColumn("rule", F.xxhash64("tokens")),
         "rules",
     )
@@ -144,29 +165,41 @@ def mined(labelled: DataFrame, mining: Mining) -> DataFrame:
     needless = (
         rules.alias("long")
         .select("rule", "tokens", F.explode("tokens").alias("key"))
-        .join(rules.join(rarest, "rule").select(F.col("tokens").alias("fewer"), "key"), "key")
+        .join(
+            rules.select("rule", F.col("tokens").alias("fewer")).join(rarest, "rule").drop("rule"),
+            "key",
+        )
         .filter(F.size("fewer") < F.size("tokens"))
         .filter(F.size(F.array_except("fewer", "tokens")) == 0)
         .select("rule")
     )
-    return rules.join(rarest, "rule").join(needless, "rule", "left_anti")
+    kept = rules.join(rarest, "rule").join(needless, "rule", "left_anti")
+    return kept.select("rule", "tokens", "support", "confidence", "lift", "key")
 
 
 def matched(urls: DataFrame, rules: DataFrame) -> DataFrame:
-    """Distinct URLs (url, tokens) to which a mined rule applies."""
+    """Distinct URLs (url, tokens) to which mined rules apply, with the most confident of them;
+    of equal ones the last by its tokens."""
+    text = F.array_join("needed", " ")
+    best = F.max_by(
+        F.struct(text.alias("mined_rule"), "support", "confidence", "lift"),
+        F.struct("confidence", "support", text),
+    )
     return (
         urls.select("url", "tokens", F.explode("tokens").alias("key"))
-        .join(rules.select(F.col("tokens").alias("needed"), "key"), "key")
+        .join(rules.withColumnRenamed("tokens", "needed"), "key")
         .filter(F.size(F.array_except("needed", "tokens")) == 0)
-        .select("url")
-        .distinct()
+        .groupBy("url")
+        .agg(best.alias("best"))
+        .select("url", "best.*")
     )
 
 
 def judged(
     pages: DataFrame, labels: DataFrame, rules: tuple[Rule, ...], mining: Mining = Mining()
 ) -> DataFrame:
-    """page_id, host, path, rule and verdict of every page.
+    """page_id, host, path, rule and verdict of every page, and the mined rule that fits best
+    (see ``MINED``), whether or not a fixed rule comes before it.
 
     ``labels`` has page_id and bad. The verdict of a mined rule depends on the URL alone,
     so distinct URLs are matched and joined back by URL.
@@ -179,10 +212,10 @@ def judged(
     )
     found = mined(split.join(known, "page_id").select("tokens", "bad"), mining)
     urls = split.filter(F.size("tokens") > 0).select("url", "tokens").distinct()
-    blocked = stored(matched(urls, found), "blocked").withColumn("blocked", F.lit(True))
+    blocked = stored(matched(urls, found), "blocked")
     verdict = F.coalesce(
         fixed_rule(rules, name=False),
-        F.when(F.col("blocked"), "block").otherwise("allow"),
+        F.when(F.col("mined_rule").isNotNull(), "block").otherwise("allow"),
     )
     return split.join(blocked, "url", "left").select(
         "page_id",
@@ -190,4 +223,5 @@ def judged(
         "path",
         fixed_rule(rules, name=True).alias("rule"),
         verdict.alias("verdict"),
+        *MINED,
     )
