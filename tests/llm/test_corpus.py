@@ -405,6 +405,114 @@ def test_contexts_find_unseen_identifiers(spark):
     assert clean[110].text == rows[21][1]
 
 
+def plain_patterns(left, right):
+    def words(text):
+        return [w for w in re.split(r"[\s\"'=:()\[\]<>,;|]+", text.lower()) if w]
+
+    before, behind = words(left), words(right)
+    found = []
+    if before:
+        found.append("1 " + before[-1])
+    if len(before) > 1:
+        found.append("2 " + " ".join(before[-2:]))
+    if before and behind:
+        found.append(f"3 {before[-1]} _ {behind[0]}")
+    return {re.sub("[0-9]+", "0", pattern) for pattern in found}
+
+
+def plain_bootstrap(spans, bootstrap):
+    """spans: (value, left, right, is seed). Scores of patterns after all rounds."""
+    edges = defaultdict(dict)
+    for value, left, right, seed in spans:
+        for pattern in plain_patterns(left, right):
+            old = edges[pattern].get(value.lower(), 0.0)
+            edges[pattern][value.lower()] = max(old, float(seed))
+    known = {i for instances in edges.values() for i, seed in instances.items() if seed}
+    best, z = {}, bootstrap.z
+    for _ in range(bootstrap.rounds):
+        scores = {}
+        for pattern, instances in edges.items():
+            n = len(instances)
+            share = sum(1.0 if i in known else best.get(i, 0.0) for i in instances) / n
+            margin = z * (share * (1 - share) / n + z * z / (4 * n * n)) ** 0.5
+            scores[pattern] = (share + z * z / (2 * n) - margin) / (1 + z * z / n)
+        best = {}
+        for pattern, instances in edges.items():
+            for i in instances:
+                if scores[pattern] >= bootstrap.confidence:
+                    best[i] = max(best.get(i, 0.0), scores[pattern])
+    return scores
+
+
+def graph_rows():
+    """Codes behind a key word, again behind a second word with unknown ones, and these behind
+    a third with yet others."""
+    rng = random.Random(12)
+    codes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(400)]
+    unknown = [f"{9000000 + i}" for i in range(60)]
+    rows = [(i, f'the token = "{code}" was sent') for i, code in enumerate(codes)]
+    rows += [(1000 + i, f"signed with stamp {code} at noon") for i, code in enumerate(codes + unknown)]
+    rows += [(2000 + i, f"she wore badge {code} today") for i, code in enumerate(codes[:60] + unknown)]
+    rows += [(3000 + i, f"she wore badge {7000000 + i} today") for i in range(2)]
+    rows += [(4000 + i, f"in the year {10000 + i} there were") for i in range(80)]
+    return rows
+
+
+def test_pattern_scores_equal_plain_rounds(spark):
+    docs = spark.createDataFrame(graph_rows(), "doc_id long, text string")
+    rows = contextual_pii.scanned(docs, "doc_id")
+    spans = []
+    for row in rows.collect():
+        for kind in contextual_pii.KINDS:
+            spans += [(s.value, s.left, s.right, True) for s in row[kind]]
+        for s in row.candidates:
+            word = re.split(r"[\s\"'=:]+", s.left.lower().rstrip(" \"'=:"))[-1]
+            spans.append((s.value, s.left, s.right, word == "token" and len(s.value) >= 20))
+    results = []
+    for rounds in (1, 2, 3):
+        bootstrap = contextual_pii.Bootstrap(rounds=rounds)
+        found = contextual_pii.scored_patterns(contextual_pii.graph(rows), bootstrap).collect()
+        scores = {r.pattern: r.score for r in found}
+        assert scores == pytest.approx(plain_bootstrap(spans, bootstrap))
+        results.append({p for p, score in scores.items() if score >= bootstrap.confidence})
+    # the third word needs what the second has shown
+    assert "0 stamp" in results[0] and "0 badge" not in results[0]
+    assert "0 badge" in results[1] and "0 year" not in results[2]
+    found = contextual_pii.with_spans(docs, "doc_id").filter("size(found) > 0")
+    ids = {r.doc_id for r in found.collect()}
+    assert ids == {*range(400), *range(1000, 1460), *range(2000, 2120), 3000, 3001}
+
+
+def test_credentials_of_the_given_texts_are_found(spark):
+    path = "/root/testdata/sf0.1/documents.parquet"
+    docs = spark.read.parquet(path).select("doc_id", "text").collect()
+    secrets = {
+        d.doc_id: [(m.start(1), m.end(1)) for m in re.finditer(r'token = "([0-9a-f]{40})"', d.text or "", re.I)]
+        for d in docs
+    }
+    rows = QUERIES["op5_contextual_pii"](spark, "/root/testdata/sf0.1").collect()
+    caught = 0
+    for row in rows:
+        found = re.findall(r"found:(\d+):(\d+)", row.spans)
+        assert {(int(a), int(b)) for a, b in found} >= set(secrets[row.doc_id])
+        caught += bool(found)
+        if found:
+            assert secrets[row.doc_id], row.doc_id
+    assert caught > 100
+
+
+def test_columns_to_keep_may_have_inner_names(spark):
+    docs = spark.createDataFrame(
+        [(1, 'token = "a1b2c3d4e5f6a7b8c9d0e1f2"', 7, "t", "a", "c", "k", 5)],
+        "doc_id long, text string, row long, t string, all string, candidates string, kept string, pattern int",
+    )
+    names = [name for name in docs.columns if name != "text"]
+    [row] = contextual_pii.with_spans(docs, *names).collect()
+    assert tuple(row)[:7] == (1, 7, "t", "a", "c", "k", 5) and len(row.found) == 1
+    with pytest.raises(ValueError, match="email"):
+        contextual_pii.with_spans(docs.withColumn("Email", F.lit(1)), "Email")
+
+
 def test_pipeline_equals_plain_pipeline(spark):
     docs = spark.read.parquet(f"{SMALL}/documents.parquet").collect()
     judge = compression.Judge(compression.Bands())

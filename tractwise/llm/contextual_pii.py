@@ -1,17 +1,18 @@
 """Personal data: patterns for known kinds, and contexts learned from them.
 
 Base kinds are found by regular expressions and checked (parts of addresses, Luhn sums,
-numbers of digits). They are the seeds. The words around a seed are lexical patterns;
-the same patterns also stand around other number-like tokens, the candidates. Patterns
-and instances form a graph. In turns, a pattern is scored by its instances and an
-instance by its best pattern:
+numbers of digits). They are seeds, and so are candidates, number-like tokens, of which there is
+no doubt: long mixed codes behind a key word, and codes with a known prefix (``is_seed``). The
+words around a seed are lexical patterns; the same patterns also stand around other
+candidates. Patterns and instances form a graph. In turns, a pattern is scored by its
+instances and an instance by its best pattern:
 
 - an instance that is a seed has score 1; any other has the score of its best pattern,
 - a pattern's score is the lower bound (Wilson) of the share of its distinct instances
   that are private, where each counts with its score.
 
-Candidates that stand in a pattern above ``Bootstrap.confidence`` become spans of kind
-``found``. The bound keeps patterns out that met few instances, whatever their share.
+Candidates that are seeds, or stand in a pattern above ``Bootstrap.confidence``, become spans
+of kind ``found``. The bound keeps patterns out that met few instances, whatever their share.
 
 All of it is DataFrame and SQL functions. One pass over the texts writes base spans and
 candidates with their contexts to shared storage; the graph is made from that.
@@ -22,7 +23,7 @@ read a bounded way ahead.
 
 Nulls: a null text is an empty one. Rows are told apart by a number they get in the
 stored table, so repeated rows and ids need no rule. An empty table gives an empty
-result.
+result. Columns to keep may have any name but those of the result's kinds.
 """
 
 from __future__ import annotations
@@ -57,6 +58,14 @@ CANDIDATE = (
 )
 CANDIDATE_DIGITS = 5
 
+# Words that announce a credential, as ends of the word before it, and beginnings
+# of keys that their issuers have published.
+KEY_WORD = r"(?:token|secret|password|passwd|pwd|credential|bearer|apikey|(?:api|access|private)[_-]?key)$"
+KEY_PREFIX = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|eyJ[A-Za-z0-9_-]{10,}\..+)$"
+
+#: A mixed code long enough to be none by chance.
+LONG_CODE = r"^(?=.*[0-9])(?=.*[A-Za-z])[A-Za-z0-9_+/=.-]{20,}$"
+
 #: Characters kept on either side, and what separates words there.
 CONTEXT = 48
 SEPARATORS = r"[\s\"'=:()\[\]<>,;|]+"
@@ -180,24 +189,30 @@ def base_spans(text: Column, kind: str) -> Column:
 
 
 def scanned(docs: DataFrame, *keep: str) -> DataFrame:
-    """The stored result of the one pass: row, kept columns, a column of spans for each
-    kind, and ``candidates`` outside them."""
+    """The stored result of the one pass: row, kept columns as one struct ``kept``, a column of
+    spans for each kind, and ``candidates``: those outside them, and those with one inside, as a
+    long code may have digits that look like a card."""
     text = F.coalesce("text", F.lit(""))
     columns = [base_spans(F.col("t"), kind).alias(kind) for kind in KINDS]
+    kept = F.struct(*[F.col(f"`{name}`") for name in keep]) if keep else F.lit(None)
     rows = docs.select(
-        F.monotonically_increasing_id().alias("row"), *keep, text.alias("t")
+        F.monotonically_increasing_id().alias("row"), kept.alias("kept"), text.alias("t")
     ).select(
         "row",
-        *keep,
+        "kept",
         *columns,
         matches(F.col("t"), CANDIDATE, lambda v: _digits(v) >= CANDIDATE_DIGITS).alias("all"),
     )
     base = F.concat(*KINDS)
 
     def outside(candidate: Column) -> Column:
-        return ~F.exists(
-            base, lambda b: (b["start"] < candidate["stop"]) & (candidate["start"] < b["stop"])
-        )
+        def in_the_way(b: Column) -> Column:
+            meets = (b["start"] < candidate["stop"]) & (candidate["start"] < b["stop"])
+            inside = (candidate["start"] <= b["start"]) & (b["stop"] <= candidate["stop"])
+            longer = candidate["stop"] - candidate["start"] > b["stop"] - b["start"]
+            return meets & ~(inside & longer)
+
+        return ~F.exists(base, in_the_way)
 
     return stored(
         rows.withColumn("candidates", F.filter("all", outside)).drop("all"), "scanned"
@@ -208,6 +223,13 @@ def _words(context: Column) -> Column:
     return F.filter(F.split(F.lower(context), SEPARATORS), lambda word: word != "")
 
 
+def is_seed(span: Column) -> Column:
+    """Is a candidate a credential by its prefix, or by its length and the word before it?"""
+    before = F.coalesce(F.try_element_at(_words(span["left"]), F.lit(-1)), F.lit(""))
+    announced = F.rlike(before, F.lit(KEY_WORD)) & F.rlike(span["value"], F.lit(LONG_CODE))
+    return announced | F.rlike(span["value"], F.lit(KEY_PREFIX))
+
+
 def patterns(left: Column, right: Column) -> Column:
     """Lexical patterns of a place: the word before, the two before, the words around.
 
@@ -237,10 +259,12 @@ def patterns(left: Column, right: Column) -> Column:
 
 def graph(rows: DataFrame) -> DataFrame:
     """Distinct (pattern, instance, seed). Equal values are one instance, so a text that is
-    repeated many times has no more weight than one."""
+    repeated many times has no more weight than one, and a value that is a seed in one place
+    is one everywhere."""
     seeds = rows.select(F.explode(F.concat(*KINDS)).alias("s")).withColumn("seed", F.lit(1.0))
-    others = rows.select(F.explode("candidates").alias("s")).withColumn("seed", F.lit(0.0))
-    return (
+    others = rows.select(F.explode("candidates").alias("s"))
+    others = others.withColumn("seed", is_seed(F.col("s")).cast("double"))
+    edges = (
         seeds.unionByName(others)
         .select(
             F.explode(patterns(F.col("s.left"), F.col("s.right"))).alias("pattern"),
@@ -248,8 +272,10 @@ def graph(rows: DataFrame) -> DataFrame:
             "seed",
         )
         .groupBy("pattern", "instance")
-        .agg(F.max("seed").alias("seed"))
+        .agg(F.max("seed").alias("here"))
     )
+    known = edges.groupBy("instance").agg(F.max("here").alias("seed"))
+    return edges.join(known, "instance").select("pattern", "instance", "seed")
 
 
 def scored_patterns(edges: DataFrame, bootstrap: Bootstrap) -> DataFrame:
@@ -279,32 +305,40 @@ def scored_patterns(edges: DataFrame, bootstrap: Bootstrap) -> DataFrame:
 
 
 def discovered(rows: DataFrame, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
-    """(row, found): spans of candidates that stand in a pattern of high confidence."""
+    """(row, found): spans of candidates that are seeds or stand in a pattern of high
+    confidence."""
     edges = stored(graph(rows), "graph")
     good = scored_patterns(edges, bootstrap).filter(F.col("score") >= bootstrap.confidence)
-    places = rows.select("row", F.explode("candidates").alias("s")).select(
+    candidates = rows.select("row", F.explode("candidates").alias("s"))
+    places = candidates.select(
         "row", "s", F.explode(patterns(F.col("s.left"), F.col("s.right"))).alias("pattern")
     )
     span = F.struct("s.start", "s.stop")
     return (
         places.join(good, "pattern")
+        .select("row", "s")
+        .unionByName(candidates.filter(is_seed(F.col("s"))))
         .groupBy("row")
         .agg(F.array_sort(F.collect_set(span)).alias(FOUND))
     )
 
 
 def with_spans(docs: DataFrame, *keep: str, bootstrap: Bootstrap = Bootstrap()) -> DataFrame:
-    """Kept columns, and an array (start, stop) of spans for each kind and ``found``."""
+    """Kept columns, and an array (start, stop) of spans for each kind and ``found``. Raises
+    ValueError if a kept column has the name of one of these."""
+    clash = sorted({name.lower() for name in keep} & {*KINDS, FOUND})
+    if clash:
+        raise ValueError(f"columns to keep are named like results: {clash}")
     rows = scanned(docs, *keep)
     spans = [
         F.transform(kind, lambda s: F.struct(s["start"], s["stop"])).alias(kind) for kind in KINDS
     ]
     none = F.array().cast("array<struct<start:int,stop:int>>")
+    kept = [F.col("kept").getField(name).alias(name) for name in keep]
     return (
-        rows.select("row", *keep, *spans)
+        rows.select("row", "kept", *spans)
         .join(discovered(rows, bootstrap), "row", "left")
-        .withColumn(FOUND, F.coalesce(FOUND, none))
-        .drop("row")
+        .select(*kept, *KINDS, F.coalesce(FOUND, none).alias(FOUND))
     )
 
 
