@@ -161,14 +161,55 @@ def test_links_of_dense_lists_equal_all_pairs(spark, list_pairs, max_bits):
 def test_simhash_kept_documents(spark):
     rows = [(3, "a b c d"), (1, "A B C D"), (1, "a b c d"), (None, None), (None, " "), (8, "z")]
     docs = spark.createDataFrame(
-        [(*row, "f", "r") for row in rows], "doc_id long, text string, fp string, root string"
+        [(*row, "f", "r", 5, "keep me") for row in rows],
+        "doc_id long, text string, fp string, root string, row int, tractwise_row string",
     )
     kept = simhash_bytes.kept_documents(docs)
     assert kept.columns == docs.columns
+    assert {tuple(r)[2:] for r in kept.collect()} == {("f", "r", 5, "keep me")}
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["1", "8", "None"]
     assert simhash_bytes.kept_documents(docs.limit(0)).count() == 0
 
 
+def test_hot_joins_have_shuffles_of_their_own(spark, monkeypatch):
+    """Aggregates are stored before they are joined, so that a hot key can be split."""
+    plans = []
+    real = simhash_bytes.stored
+
+    def seen(frame, name):
+        if name in ("lists", "large-stars", "stars"):
+            plans.append((name, frame._jdf.queryExecution().optimizedPlan().toString()))
+        return real(frame, name)
+
+    monkeypatch.setattr(simhash_bytes, "stored", seen)
+    monkeypatch.setattr("tractwise.llm.components.stored", seen)
+    prints = spark.createDataFrame([(i,) for i in range(8)], "fp long")
+    components(simhash_bytes.links(prints))
+    assert {name for name, _ in plans} == {"lists", "large-stars", "stars"}
+    for _, plan in plans:
+        _, _, below = plan.partition("Join Inner")
+        assert below and "Aggregate" not in below
+
+
+def test_shared_folder_is_a_setting_on_a_cluster(spark):
+    from tractwise.llm import common
+
+    class Conf(dict):
+        def get(self, key, default=None):
+            return dict.get(self, key, default)
+
+    class Session:
+        def __init__(self, **conf):
+            self.conf = Conf({key.replace("_", "."): value for key, value in conf.items()})
+
+    assert common.shared_folder(Session(spark_master="local[4]"), "x").startswith("file://")
+    given = Session(spark_master="yarn", **{"spark_checkpoint_dir": "hdfs://c/"})
+    assert common.shared_folder(given, "x").startswith("hdfs://c/x-")
+    for master in ("yarn", "local-cluster[3,2,1000]", "spark://host:1"):
+        with pytest.raises(ValueError, match="checkpoint"):
+            common.shared_folder(Session(spark_master=master), "x")
+
+
 def padding(lengths, bounds):
     return sum(min(b for b in bounds if b >= n) - n for n in lengths)
 

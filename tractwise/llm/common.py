@@ -29,12 +29,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only a session without that setting (tests, one machine) gets a temporary folder.
+    Only a session on one machine, where that is unset, gets a temporary folder; elsewhere
+    ValueError is raised, as executors would write to their own disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        root = f"file://{tempfile.mkdtemp(prefix='tractwise-')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "")):
+            raise ValueError("set spark.checkpoint.dir to storage that all executors share")
+        root = f"file://{tempfile.gettempdir()}/tractwise"
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 

@@ -24,8 +24,9 @@ def components(links: DataFrame) -> DataFrame:
 
     Each round hangs the larger neighbours of a node on its least neighbour, then the
     smaller ones; some log n rounds make every component a star. Rounds are stored, so
-    lineage stays short. The least neighbour is a partial minimum and the join behind
-    it can be split, so a node with very many neighbours is no hot task. Loops and
+    lineage stays short. The least neighbour is a partial minimum, and is stored before the
+    join, which then has two shuffles of its own: Spark can split a node with very many
+    neighbours, so it is no hot task. Loops and
     repeated links are allowed, null ends are ignored; no links give no rows.
     """
     edges = stored(
@@ -40,13 +41,15 @@ def components(links: DataFrame) -> DataFrame:
             edges.select(F.col("low").alias("node"), F.col("high").alias("next"))
         )
         least = both.groupBy("node").agg(F.least("node", F.min("next")).alias("root"))
-        large = (
+        least = stored(least, "least")
+        large = stored(
             both.filter("next > node")
             .join(least, "node")
             .select(F.col("next").alias("high"), F.col("root").alias("low"))
-            .distinct()
+            .distinct(),
+            "large-stars",
         )
-        least = large.groupBy("high").agg(F.min("low").alias("root"))
+        least = stored(large.groupBy("high").agg(F.min("low").alias("root")), "least")
         small = (
             large.join(least, "high")
             .select(F.explode(F.array("high", "low")).alias("high"), F.col("root").alias("low"))

@@ -126,7 +126,9 @@ def links(prints: DataFrame, max_bits: int = 2, list_pairs: int = 32) -> DataFra
         raise ValueError("the keys guarantee a meeting for at most 2 differing bits")
     least_shared = 8 - max_bits
     index = postings(prints)
+    # stored, so that the join has two shuffles of its own and Spark can split a hot list
     sizes = index.groupBy("combo", "key").agg(F.count("*").alias("size")).filter("size > 1")
+    sizes = stored(sizes, "list-sizes")
     lists = stored(index.join(sizes, ["combo", "key"]), "lists")
     small = lists.filter(F.col("size") <= list_pairs)
     a, b = F.col("x.fp"), F.col("y.fp")
@@ -166,7 +168,8 @@ def near_groups(prints: DataFrame, max_bits: int = 2, list_pairs: int = 32) -> D
     members = distinct.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "least_id", F.coalesce("root", "fp").alias("root")
     )
-    least = members.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    members = stored(members, "members")
+    least = stored(members.groupBy("root").agg(F.min("least_id").alias("component_id")), "roots")
     named = members.join(least, "root").select("fp", "root", "component_id")
     return prints.join(named, "fp")
 
@@ -174,10 +177,13 @@ def near_groups(prints: DataFrame, max_bits: int = 2, list_pairs: int = 32) -> D
 def kept_documents(docs: DataFrame, words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row of each component, with all its columns: the one with the least doc_id
     (a null one last), and of rows with one id the first as stored."""
-    row = "tractwise_row"
-    placed = stored(docs.withColumn(row, F.monotonically_increasing_id()), "near-input")
-    prints = stored(fingerprints(placed, words, (row,)), "fingerprints")
+    placed = stored(
+        docs.select(F.monotonically_increasing_id().alias("row"), F.struct("*").alias("document")),
+        "near-input",
+    )
+    texts = placed.select("row", "document.doc_id", "document.text")
+    prints = stored(fingerprints(texts, words, ("row",)), "fingerprints")
     grouped = stored(near_groups(prints, max_bits), "near")
-    first = F.min_by(row, F.struct(F.col("doc_id").isNull(), "doc_id", row))
-    keepers = grouped.groupBy("root").agg(first.alias(row))
-    return placed.join(keepers.select(row), row, "left_semi").select(*docs.columns)
+    first = F.min_by("row", F.struct(F.col("doc_id").isNull(), "doc_id", "row"))
+    keepers = grouped.groupBy("root").agg(first.alias("row"))
+    return placed.join(keepers.select("row"), "row", "left_semi").select("document.*")
