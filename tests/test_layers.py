@@ -191,8 +191,8 @@ def test_a_run_that_fails_leaves_every_output_as_before(spark, inputs, tmp_path,
     before = {name: published(spark, root, name) for name in OUTPUTS}
     files = {name: set(data_files(root, name)) for name in OUTPUTS}
     if part == "tables":
-        broken = tables.hold.withColumn("id", F.raise_error(F.lit("broken input")).cast("bigint"))
-        tables = replace(tables, hold=broken)
+        text = F.raise_error(F.lit("broken input")).cast("string")
+        tables = replace(tables, varfield=tables.varfield.withColumn("field_content", text))
     if part == "boundary":
         boundary = failing(boundary.withColumnRenamed("GEOID", "geoid"))
     if part == "population":

@@ -6,7 +6,8 @@ MAILING_ADDRESS_TYPE = "1"
 NOT_BLOCKED_CODE = "-"
 BLOCKING_DEBT = 10
 
-# Patterns of the tagged census field, e.g. |s25|c017|t383101|b1.
+# Patterns of the tagged census field, e.g. |s25|c017|t383101|b1. The pipe stands
+# in a character class, which needs no escape in Python, in Spark or in SQL text.
 CENSUS_FIELD_START = "|s"
 CENSUS_FIELD_PATTERN = r"^[|]s\d{2}"
 SUBFIELD_MARKER_PATTERN = r"[|][sctb]"
