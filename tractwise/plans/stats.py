@@ -6,10 +6,10 @@ import uuid
 from collections.abc import Iterable
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tractwise.functions import codes, fixed, numbers, patrons
-from tractwise.operators import areas, facts, sets
+from tractwise.operators import areas, facts
 from tractwise.sources.catalogue import service_area_tracts
 from tractwise.sources.tables import PatronTables
 
@@ -69,9 +69,11 @@ def rollup_stats(
 ) -> DataFrame:
     """Statistics at every geography level at once, told apart by ``level``.
 
-    Distinct counts do not add up from level to level, but sets do: block groups get exact
-    bitmaps of their patrons, and every level merges these. Patrons are shuffled once, to be
-    numbered, and not copied for a level; what is merged are bitmaps.
+    Sums add up from level to level, distinct counts do not: a patron with two block groups in a
+    county is one of its patrons. So of a patron's areas in each larger area only the first
+    counts the patron for it. The joins have put all rows of a patron in one partition, so
+    this takes no shuffle, and rows are not copied for a level; what is added up over levels
+    has a row a block group.
     """
     if tracts is not None and catalogue is not None:
         raise ValueError("give tracts or a catalogue, not both")
@@ -82,49 +84,50 @@ def rollup_stats(
     if catalogue is not None:
         coded = areas.in_service_areas(coded, service_area_tracts(catalogue))
     located = areas.patron_areas(coded, keys, "block_group")
-    placed = sets.numbered(_patron_rows(located, tables, as_of), sets.large_homes(located))
-    # sums count once, with the set of all patrons; the grouping has the partitioning of numbers
-    first = F.col("set") == sets.PATRONS
-    bitmap = [*keys, "home", "part", "bucket", "set"]
-    by_area = (
-        sets.memberships(placed)
-        .groupBy(
-            *keys,
-            "geoid",
-            "home",
-            "part",
-            F.bitmap_bucket_number(F.col("number")).alias("bucket"),
-            "set",
-        )
-        .agg(
-            F.bitmap_construct_agg(F.bitmap_bit_position(F.col("number"))).alias("members"),
-            *[F.sum(F.when(first, value)).alias(name) for name, value in weighted_sums().items()],
-        )
+    rows = _patron_rows(located, tables, as_of)
+    # a patron's areas in order: those of one county, say, are neighbours, and the first of them
+    # counts the patron for the county
+    before = F.lag("geoid").over(Window.partitionBy(*keys, "id").orderBy("geoid"))
+    rows = rows.withColumn("before", before)
+
+    def is_first(level: str) -> Column:
+        same = codes.area_of(F.col("before"), level) == codes.area_of(F.col("geoid"), level)
+        return F.col("before").isNull() | ~same
+
+    once = {
+        "total_patrons": lambda first: F.count_if(first),
+        "total_new_patrons": lambda first: F.count_if(first & F.col("is_new")),
+        "total_active_patrons": lambda first: F.count_if(first & F.col("is_active")),
+        "total_blocked_patrons": lambda first: F.count_if(first & F.col("is_blocked")),
+        "total_holds_current": lambda first: F.sum(F.when(first, F.col("distinct_holds"))),
+    }
+    by_area = rows.groupBy(*keys, "geoid").agg(
+        *[F.sum(value).alias(name) for name, value in weighted_sums().items()],
+        *[
+            F.struct(*[count(is_first(level)).alias(name) for name, count in once.items()]).alias(level)
+            for level in fixed.LEVELS
+        ],
     )
     each_level = F.array(
         *[
-            F.struct(F.lit(level).alias("level"), codes.area_of(F.col("geoid"), level).alias("area"))
+            F.struct(
+                F.lit(level).alias("level"),
+                codes.area_of(F.col("geoid"), level).alias("area"),
+                *[F.col(level)[name].alias(name) for name in once],
+            )
             for level in fixed.LEVELS
         ]
     )
-    merged = (
+    keys = [*keys, "level"]
+    whole = (
         by_area.select("*", F.inline(each_level))
-        .groupBy("level", "area", *bitmap)
+        .groupBy(*keys, F.col("area").alias("geoid"))
         .agg(
-            F.bitmap_count(F.bitmap_or_agg("members")).alias("members"),
-            *[F.sum(name).alias(name) for name in weighted_sums()],
+            *[F.sum(name).alias(name) for name in SUMS],
+            *[F.coalesce(F.sum(name), F.lit(0)).alias(name) for name in once],
+            numbers.whole_mean(F.sum("ages"), F.sum("known_ages")).alias("avg_age"),
         )
     )
-    keys = [*keys, "level"]
-    whole = merged.groupBy(*keys, F.col("area").alias("geoid")).agg(
-        sets.size_of(sets.PATRONS).alias("total_patrons"),
-        *[F.sum(name).alias(name) for name in SUMS],
-        sets.holds_total().alias("total_holds_current"),
-        numbers.whole_mean(F.sum("ages"), F.sum("known_ages")).alias("avg_age"),
-        sets.size_of(sets.NEW).alias("total_new_patrons"),
-        sets.size_of(sets.ACTIVE).alias("total_active_patrons"),
-        sets.size_of(sets.BLOCKED).alias("total_blocked_patrons"),
-    )
     return report(whole, keys, codes.profile_url_at(F.col("geoid"), F.col("level")), min_patrons)
 
 
