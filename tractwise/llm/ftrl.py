@@ -13,7 +13,9 @@ bounded and small shards learn less.
 
 Nulls: a null text is an empty one and gets the score of the intercept. Labels that are
 null, or that contradict each other on one document, are left out. Without labels the
-score is 0.5 throughout. Rows are scored one by one; other columns are not read.
+score is 0.5 throughout. Rows are scored one by one; other columns are not read. Of rows
+that repeat a labelled id one is learned from, the one whose text has the least hash; all are
+scored. Very long texts are scored whole, and learned from whole or not at all.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ from collections.abc import Iterable
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tractwise.llm.common import map_arrow, remainder
@@ -32,6 +34,8 @@ from tractwise.llm.common import map_arrow, remainder
 BITS = 18
 #: Labelled rows that are learned from at most, and shards that learn side by side.
 SAMPLE_ROWS, SHARDS = 12_288, 1
+#: Characters that are learned from at most: in all, and in one text.
+SAMPLE_CHARS, TEXT_CHARS = 1 << 26, 1 << 20
 ALPHA, BETA, L1, L2, EPOCHS = 0.3, 1.0, 0.05, 0.5, 4
 MEMO_WORDS = 1 << 18
 
@@ -108,10 +112,12 @@ def learned(texts: Iterable[str | None], labels: Iterable[int], bits: int = BITS
     return model.weights(slice(None))
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+def training_sample(
+    docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS
+) -> DataFrame:
     """text, quality and shard of at most ``rows`` labelled documents, first by a hash of
-    their id. The sample of ids is bounded by ``rows`` and broadcast, so no text moves
-    that is not learned from."""
+    their id, with at most ``chars`` characters, texts beyond TEXT_CHARS left out. Ids are
+    bounded by ``rows`` and broadcast, so no text moves that is not learned from."""
     chosen = (
         labels.filter(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
         .groupBy("doc_id")
@@ -121,8 +127,23 @@ def training_sample(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS)
         .orderBy("place", "doc_id")
         .limit(rows)
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select(
-        "text", "quality", "place", F.pmod("place", F.lit(SHARDS)).alias("shard")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("tie"))
+    size = F.coalesce(F.length("text"), F.lit(0)).alias("size")
+    one = (
+        texts.join(F.broadcast(chosen), "doc_id")
+        .groupBy("doc_id", "quality", "place")
+        .agg(F.min(F.struct("tie", size)).alias("least"))
+        .select("doc_id", "quality", "place", "least.*")
+        .filter(F.col("size") <= TEXT_CHARS)
+    )
+    # one window over at most rows rows without their texts
+    before = Window.orderBy("place", "doc_id").rowsBetween(Window.unboundedPreceding, 0)
+    taken = one.withColumn("total", F.sum("size").over(before)).filter(F.col("total") <= chars)
+    return (
+        texts.join(F.broadcast(taken.select("doc_id", "tie", "quality", "place")), ["doc_id", "tie"])
+        .groupBy("doc_id", "quality", "place")
+        .agg(F.min("text").alias("text"))
+        .select("text", "quality", "place", F.pmod("place", F.lit(SHARDS)).alias("shard"))
     )
 
 
