@@ -1,13 +1,16 @@
 """Tokens, rules, classifiers and languages against plain versions."""
 
 import hashlib
+import math
 import random
 import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from tokenizers import Tokenizer
 
 from tractwise.llm import byte_bpe, compression, cross_parse, ftrl, token_files, vocab
@@ -186,6 +189,82 @@ def test_ftrl_of_odd_rows(spark):
     assert ftrl.fitted_and_scored(docs.limit(0), mixed).count() == 0
 
 
+def plain_weights(texts, labels, bits):
+    """FTRL-proximal, feature by feature, on a dictionary of weights."""
+    sums, squares, end = defaultdict(float), defaultdict(float), 1 << bits
+    mix_a, mix_b, whole = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, (1 << 64) - 1
+
+    def weight(at):
+        if abs(sums[at]) <= ftrl.L1:
+            return 0.0
+        sign = 1 if sums[at] > 0 else -1
+        rate = (ftrl.BETA + math.sqrt(squares[at])) / ftrl.ALPHA + ftrl.L2
+        return -(sums[at] - sign * ftrl.L1) / rate
+
+    def features(text):
+        words = ftrl.TOKENS.findall(text or "")
+        hashes = [xxhash.xxh64_intdigest(word.lower()) for word in words]
+        terms = list(hashes)
+        for a, b in zip(hashes, hashes[1:], strict=False):
+            terms.append((a * mix_a & whole) ^ (b * mix_b & whole))
+            if a == b:
+                terms.append(xxhash.xxh64_intdigest(ftrl.REPEATED))
+        terms += [xxhash.xxh64_intdigest(ftrl.CAPITALS)] * sum(word.isupper() for word in words)
+        counts = Counter((term * mix_a & whole) >> (64 - bits) for term in terms)
+        values = {at: math.log(1 + n) for at, n in counts.items()}
+        length = math.sqrt(sum(v * v for v in values.values()))
+        return {at: v / length for at, v in values.items()}
+
+    for _ in range(ftrl.EPOCHS):
+        for text, label in zip(texts, labels, strict=True):
+            x = {**features(text), end: 1.0}
+            now = {at: weight(at) for at in x}
+            chance = 1 / (1 + math.exp(-sum(now[at] * v for at, v in x.items())))
+            for at, v in x.items():
+                gradient = (chance - label) * v
+                grown = squares[at] + gradient**2
+                sums[at] += gradient - (math.sqrt(grown) - math.sqrt(squares[at])) / ftrl.ALPHA * now[at]
+                squares[at] = grown
+    return [weight(at) for at in range(end + 1)]
+
+
+def test_ftrl_weights_equal_plain_ftrl(spark):
+    rng = random.Random(8)
+    pools = ["good plain words of prose, he said.", "CLICK here here here $$$ now NOW !!!"]
+    labels = [i % 2 for i in range(60)]
+    texts = [" ".join(rng.choices(pools[1 - label].split(), k=rng.randint(0, 30))) for label in labels]
+    texts[5] = None
+    expected = plain_weights(texts, labels, 12)
+    assert np.allclose(ftrl.learned(texts, labels, 12), expected, atol=1e-9)
+    assert any(expected) and not all(expected)
+    # and through the tables: the order is that of the hashed ids, scores are dot products
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    known = spark.createDataFrame(list(enumerate(labels)), "doc_id long, quality int")
+    sample = ftrl.training_sample(docs, known).orderBy("place").collect()
+    weights = ftrl.learned([r.text for r in sample], [r.quality for r in sample])
+    found = ftrl.fit(docs, known)
+    assert len(sample) == 60 and np.allclose(found, weights, atol=1e-6)
+    empty = ftrl.scored(docs, found).filter("doc_id = 5").first()
+    assert empty.score == pytest.approx(1 / (1 + math.exp(-float(found[-1]))))
+
+
+def test_ftrl_sample_is_bounded(spark, monkeypatch):
+    rows = [(1, f"copy {i}") for i in range(500)] + [(i, "x" * 10) for i in range(2, 40)]
+    rows += [(40, "y" * 1000), (41, None), (41, None), (42, "twice"), (42, "twice")]
+    docs = spark.createDataFrame(
+        [(*row, "q", 7, "t", 1) for row in rows],
+        "doc_id long, text string, quality string, place int, tie string, size int",
+    )
+    known = spark.createDataFrame([(i, 1) for i in range(60)] + [(None, 1)], "doc_id long, quality int")
+    whole = Counter(r.text for r in ftrl.training_sample(docs, known).collect())
+    assert sum(whole.values()) == 42 and whole[None] == 1 and whole["twice"] == 1
+    assert ftrl.training_sample(docs, known, rows=20).count() <= 20
+    few = [r.text or "" for r in ftrl.training_sample(docs, known, chars=95).collect()]
+    assert 0 < len(few) and sum(map(len, few)) <= 95
+    monkeypatch.setattr(ftrl, "TEXT_CHARS", 999)
+    assert ftrl.training_sample(docs, known).count() == 41
+
+
 def public_encoding():
     return tiktoken.Encoding(
         "public",
@@ -222,28 +301,98 @@ def test_byte_bpe_on_random_and_odd_texts(spark):
 def test_automaton_has_exactly_the_substrings():
     rng = random.Random(2)
     codes = [rng.randrange(3) for _ in range(60)]
-    table = cross_parse.suffix_automaton(codes)
+    steps = cross_parse.suffix_automaton(codes)
     inside = {tuple(codes[a:b]) for a in range(60) for b in range(a, 61)}
     for _ in range(3000):
         word, state = [rng.randrange(3) for _ in range(rng.randint(1, 7))], 0
         for code in word:
-            state = table[state, code] if state >= 0 else -1
+            state = steps[state].get(code, -1) if state >= 0 else -1
         assert (state >= 0) == (tuple(word) in inside)
 
 
-def test_phrases_are_longest_matches():
-    samples = (("aa", "the cat sat on the mat"), ("bb", "le chat est sur le tapis"))
+def plain_letters(text):
+    """Lower-cased letters; other characters between them as one blank."""
+    out = []
+    for c in text.lower():
+        if c.isalpha():
+            out.append(c)
+        elif out and out[-1] != " ":
+            out.append(" ")
+    return "".join(out)
+
+
+def plain_phrases(text, sample):
+    """Longest matches, cut greedily over the whole text."""
+    at = count = 0
+    while at < len(text):
+        size = 1
+        while at + size < len(text) and text[at : at + size + 1] in sample:
+            size += 1
+        at, count = at + size, count + 1
+    return count
+
+
+def plain_judgement(text, samples):
+    letters = plain_letters(text)
+    cost = [
+        plain_phrases(letters, known) * math.log2(max(2, len(known))) / len(letters)
+        for known in (plain_letters(sample) for _, sample in samples)
+    ]
+    best = cost.index(min(cost))
+    other = min(cost[:best] + cost[best + 1 :])
+    return samples[best][0], min(1.0, max(0.0, 1 - cost[best] / other))
+
+
+def random_texts(rng, pool, count, size):
+    words = ["".join(rng.choices(pool, k=rng.randint(1, 6))) for _ in range(60)]
+    return [" ".join(rng.choices(words, k=rng.randint(1, size))) for _ in range(count)]
+
+
+@pytest.mark.parametrize("block", [3, 7, 64, 1024])
+def test_phrases_are_longest_matches_of_whole_texts(monkeypatch, block):
+    monkeypatch.setattr(cross_parse, "BLOCK", block)
+    monkeypatch.setattr(cross_parse, "LANES", 5)
+    rng = random.Random(block)
+    kanji = [chr(0x4E00 + i) for i in range(400)]
+    pools = {"aa": "abcde", "ja": kanji[:300] + ["の", "は"], "zh": kanji[150:], "zz": "ab𠀀é"}
+    samples = tuple((lang, " ".join(random_texts(rng, pool, 6, 40))) for lang, pool in pools.items())
+    parser = cross_parse.Parser(samples)
+    texts = [text for pool in pools.values() for text in random_texts(rng, pool, 8, 60)]
+    # phrases that never begin together in two walks, an unknown script, and a single letter
+    texts += ["ab" * 150, "a" * 300, samples[0][1], samples[2][1], "ψωψ ψ", "q", "the 12 a-b"]
+    found = parser.phrases([parser.alphabet.codes(text) for text in texts])
+    for row, text in zip(found.tolist(), texts, strict=True):
+        assert row == [plain_phrases(plain_letters(text), plain_letters(s)) for _, s in samples]
+    names, scores = parser.judge([*texts, None, "12"])
+    for text, name, score in zip(texts, names, scores, strict=False):
+        lang, expected = plain_judgement(text, samples)
+        assert name == lang and score == pytest.approx(expected)
+    assert names[-2:] == ["und", "und"] and scores[-2:] == [0.0, 0.0]
+
+
+def test_scripts_of_many_characters_are_told_apart():
+    rng = random.Random(3)
+    kanji = [chr(0x4E00 + i) for i in range(6000)]
+    pools = {"aa": "abcdefgh", "ja": kanji[:3000], "zh": kanji[3000:]}
+    words = {lang: ["".join(rng.choices(pool, k=3)) for _ in range(1000)] for lang, pool in pools.items()}
+    samples = tuple((lang, "".join(rng.choices(some, k=3000))) for lang, some in words.items())
+    texts = ["".join(rng.choices(some, k=30)) for some in words.values()]
     parser = cross_parse.Parser(samples)
-    text = "the chat on xyz mat"
-    codes = parser.alphabet.codes(text).tolist()
-    for column, (_, sample) in enumerate(samples):
-        known, at, count = bytes(parser.alphabet.codes(sample).tolist()), 0, 0
-        while at < len(codes):
-            size = 1
-            while at + size < len(codes) and bytes(codes[at : at + size + 1]) in known:
-                size += 1
-            at, count = at + size, count + 1
-        assert parser.phrases([np.array(codes, np.uint8)])[0, column] == count
+    assert parser.judge(texts)[0] == list(pools)
+    assert parser.alphabet.size == len(set("".join(text for _, text in samples))) + 2
+
+
+def test_samples_take_each_text_once(spark):
+    rows = [(i, "the same text again", "en") for i in range(200)]
+    rows += [(200 + i, f"another text {i}", "en") for i in range(20)] + [(300, None, "en"), (301, "x", None)]
+    docs = spark.createDataFrame(
+        [(*row, "p", 5) for row in rows], "doc_id long, text string, lang string, place string, part int"
+    )
+    ((lang, sample),) = cross_parse.samples(docs)
+    assert lang == "en" and sorted(sample.split("\n")) == sorted({r[1] for r in rows if r[1] and r[2]})
+    assert cross_parse.samples(docs, rows=3)[0][1].count("\n") == 2
+    assert len(cross_parse.samples(docs, chars=10)[0][1]) == 10
+    assert cross_parse.samples(docs.limit(0)) == ()
 
 
 def test_languages_of_held_out_rows(spark):

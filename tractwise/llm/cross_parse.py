@@ -6,13 +6,22 @@ few, long phrases. With ``m`` characters of labelled text, ``phrases * log2(m)``
 by the text's length estimates the cross entropy; the least one names the language.
 
 The automaton is a table (state, character) -> next state in which a missing step already
-holds the step from the start, marked as the begin of a phrase. Numpy walks many blocks of
-text through all automata at once, one character a step. A block is a fixed number of
-characters, so long texts are many blocks and no block is a long chain.
+holds the step from the start, marked as the begin of a phrase. Characters that are frequent
+in the labelled text are columns of the table. Steps by all others are a sorted list of
+(state, character), so that every character of the labelled text is told apart, also in
+scripts of thousands of them.
+
+Numpy walks many blocks of text through an automaton at once, one character a step. A block
+is a fixed number of characters, so long texts are many blocks and no block is a long chain.
+A phrase may run on over the end of a block: it is followed into the next one until a phrase
+begins where one begins in the walk of that block as well, and from there both walks agree.
+So the count is that of the whole text.
 
 Nulls and letters: a null text, or one without a letter, is ``und`` with score 0; so is
-every text if nothing is labelled. Rows are judged one by one. Ties go to the language
-that comes first in the alphabet.
+every text if nothing is labelled. Rows are judged one by one, repeated ones too. Ties go to
+the language that comes first in the alphabet. Copies of one labelled text are one text of
+the sample. Columns other than doc_id, text and lang are not read; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -29,10 +38,11 @@ from tractwise.llm.common import map_arrow, remainder
 
 #: Characters of labelled text a language, and labelled rows a language to take them from.
 SAMPLE_CHARS, SAMPLE_ROWS = 40_000, 64
-#: Characters told apart; the others share one code. Code 0 is the gap between words.
+#: Columns of the step table. Code 0 is the gap between words, the last column is for
+#: characters that no labelled text has; codes beyond are steps of the sorted list.
 ALPHABET = 64
 #: Characters in a block, and blocks walked at once.
-BLOCK, LANES = 1024, 8192
+BLOCK, LANES = 2048, 4096
 
 START = np.int32(1 << 30)
 
@@ -58,28 +68,43 @@ _LETTERS = np.array([chr(p).isalpha() for p in range(0x250)])
 
 
 class Alphabet:
-    """Codes of the characters that are frequent in the labelled text."""
+    """Codes of all characters of the labelled text, the most frequent ones as columns."""
 
     def __init__(self, texts: Iterable[str]):
         counts: Counter[int] = Counter()
         for text in texts:
             counts.update(letters(text).tolist())
         counts.pop(32, None)
-        ranked = sorted(counts, key=lambda point: (-counts[point], point))[: ALPHABET - 2]
-        self.points = np.array(sorted(ranked), np.uint32)
+        ranked = sorted(counts, key=lambda point: (-counts[point], point))
+        codes = [rank + 1 if rank < ALPHABET - 2 else rank + 2 for rank in range(len(ranked))]
+        known = sorted(zip(ranked, codes, strict=True))
+        self.points = np.array([point for point, _ in known], np.uint32)
+        self.numbers = np.array([code for _, code in known], np.int32)
+        self.plain = np.full(len(_LETTERS), ALPHABET - 1, np.int32)
+        self.plain[[point for point, _ in known if point < len(self.plain)]] = [
+            code for point, code in known if point < len(self.plain)
+        ]
+        self.plain[32] = 0
+        self.size = max([ALPHABET, *(code + 1 for code in codes)])
 
     def codes(self, text: str) -> np.ndarray:
-        """0 for a blank, the last code for characters that are not told apart."""
+        """0 for a blank, the last column for characters of no labelled text."""
         points = letters(text)
-        if not len(self.points):
-            return np.where(points == 32, 0, ALPHABET - 1).astype(np.uint8)
-        at = np.minimum(np.searchsorted(self.points, points), len(self.points) - 1)
-        known = self.points[at] == points
-        return np.where(points == 32, 0, np.where(known, at + 1, ALPHABET - 1)).astype(np.uint8)
-
-
-def suffix_automaton(codes: list[int]) -> np.ndarray:
-    """The step table of a text's suffix automaton; -1 where there is no step."""
+        is_plain = points < len(self.plain)
+        if is_plain.all():
+            return self.plain[points]
+        codes = self.plain[np.where(is_plain, points, 32)]
+        others = points[~is_plain]
+        if len(self.points):
+            at = np.minimum(np.searchsorted(self.points, others), len(self.points) - 1)
+            codes[~is_plain] = np.where(self.points[at] == others, self.numbers[at], ALPHABET - 1)
+        else:
+            codes[~is_plain] = ALPHABET - 1
+        return codes
+
+
+def suffix_automaton(codes: list[int]) -> list[dict[int, int]]:
+    """The steps (code to state) of each state of a text's suffix automaton."""
     steps: list[dict[int, int]] = [{}]
     link, length = [-1], [0]
     last = 0
@@ -106,10 +131,65 @@ def suffix_automaton(codes: list[int]) -> np.ndarray:
                     at = link[at]
                 link[target] = link[new] = copy
         last = new
-    table = np.full((len(steps), ALPHABET), -1, np.int32)
-    for state, row in enumerate(steps):
-        table[state, list(row)] = list(row.values())
-    return table
+    return steps
+
+
+class Automaton:
+    """Steps of one language. A state is kept as the place of its row in the table."""
+
+    def __init__(self, codes: list[int], alphabet: int):
+        steps = suffix_automaton(codes)
+        # the last state has no steps: every character begins a phrase there
+        steps.append({})
+        none, self.alphabet = len(steps) - 1, alphabet
+        table = np.full((len(steps), ALPHABET), -1, np.int32)
+        rare = []
+        for state, row in enumerate(steps):
+            for code, target in row.items():
+                if code < ALPHABET:
+                    table[state, code] = target
+                else:
+                    rare.append((state * alphabet + code, target * ALPHABET))
+        rare.sort()
+        self.keys = np.array([key for key, _ in rare] or [-1], np.int64)
+        self.targets = np.array([target for _, target in rare] or [0], np.int32)
+        # a character the language lacks is a phrase of its own
+        start = np.where(table[0] >= 0, table[0], none) * ALPHABET | START
+        self.table = np.where(table >= 0, table * ALPHABET, start[None, :]).astype(np.int32).ravel()
+        self.restart = np.full(alphabet, none * ALPHABET | START, np.int32)
+        for code, target in steps[0].items():
+            self.restart[code] = target * ALPHABET | START
+        self.begin = none * ALPHABET
+        self.bits = np.log2(max(2, len(codes)))
+
+    def step(self, states: np.ndarray, codes: np.ndarray, has_rare: bool) -> np.ndarray:
+        """Next states, with START where a phrase begins."""
+        if not has_rare:
+            return self.table.take(states + codes)
+        rare = np.flatnonzero(codes >= ALPHABET)
+        found = self.table.take(states + np.minimum(codes, ALPHABET - 1))
+        keys = (states[rare] // ALPHABET).astype(np.int64) * self.alphabet + codes[rare]
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        found[rare] = np.where(self.keys[at] == keys, self.targets[at], self.restart[codes[rare]])
+        return found
+
+    def run_on(self, state: int, block: np.ndarray, begins: np.ndarray) -> tuple[int, int, int]:
+        """Follow a walk that enters ``block`` in ``state`` until a phrase begins where
+        ``begins`` has one too: (phrases before, place, state), the place being the block's
+        length if there is none."""
+        phrases = 0
+        for place in range(len(block)):
+            code = block.item(place)
+            if code < ALPHABET:
+                value = self.table.item(state + code)
+            else:
+                value = int(self.step(np.array([state], np.int32), block[place : place + 1], True)[0])
+            if value >= START:
+                if begins[place]:
+                    return phrases, place, state
+                phrases += 1
+            state = value & (START - 1)
+        return phrases, len(block), state
 
 
 class Parser:
@@ -118,60 +198,85 @@ class Parser:
     def __init__(self, samples: tuple[tuple[str, str], ...]):
         self.languages = [language for language, _ in samples]
         self.alphabet = Alphabet(text for _, text in samples)
-        tables, self.begins, sizes, at = [], [], [], 0
-        for _, text in samples:
-            codes = self.alphabet.codes(text).tolist()
-            # the last state has no steps: every character begins a phrase there
-            table = np.pad(suffix_automaton(codes), ((0, 1), (0, 0)), constant_values=-1)
-            none, start = len(table) - 1, table[0]
-            # a character the language lacks is a phrase of its own
-            restart = np.where(start >= 0, start, none) + at
-            full = np.where(table >= 0, table + at, restart[None, :]) * ALPHABET
-            full = np.where(table >= 0, full, full | START)
-            tables.append(full.astype(np.int32))
-            self.begins.append((at + none) * ALPHABET)
-            sizes.append(max(2, len(codes)))
-            at += len(table)
-        self.table = np.concatenate(tables).ravel()
-        self.bits = np.log2(np.array(sizes))
-
-    def phrases(self, blocks: list[np.ndarray]) -> np.ndarray:
-        """Phrases of each block (rows) in each language (columns)."""
+        self.automata = [
+            Automaton(self.alphabet.codes(text).tolist(), self.alphabet.size) for _, text in samples
+        ]
+        self.bits = np.array([automaton.bits for automaton in self.automata])
+
+    def phrases(self, texts: list[np.ndarray]) -> np.ndarray:
+        """Phrases of each text (rows) in each language (columns)."""
+        blocks, owners = [], []
+        for number, codes in enumerate(texts):
+            for at in range(0, len(codes), BLOCK):
+                blocks.append(codes[at : at + BLOCK])
+                owners.append(number)
+        counts = np.zeros((len(texts), len(self.automata)), np.int64)
+        if not blocks:
+            return counts
+        owners = np.array(owners)
+        follows = np.append(False, owners[1:] == owners[:-1])
+        long = follows | np.append(follows[1:], False)
         order = np.argsort([-len(block) for block in blocks], kind="stable")
-        counts = np.zeros((len(blocks), len(self.languages)), np.int64)
-        for first in range(0, len(order), LANES):
-            chosen = order[first : first + LANES]
-            lengths = np.array([len(blocks[i]) for i in chosen])
-            codes = np.zeros((lengths[0], len(chosen)), np.int32)
-            for lane, i in enumerate(chosen):
-                codes[: lengths[lane], lane] = blocks[i]
-            # blocks are in descending order of length, so those still running come first
-            running = len(chosen) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
-            for column, begin in enumerate(self.begins):
-                state = np.full(len(chosen), begin, np.int32)
-                found = np.zeros(len(chosen), np.int32)
-                for step, n in enumerate(running.tolist()):
-                    value = self.table.take(state[:n] + codes[step, :n])
-                    found[:n] += value >= START
-                    state[:n] = value & (START - 1)
-                counts[chosen, column] = found
+        groups = [order[first : first + LANES] for first in range(0, len(order), LANES)]
+        laid = [self._laid([blocks[i] for i in chosen]) for chosen in groups]
+        begins: list[np.ndarray | None] = [None] * len(blocks)
+        ends = np.zeros(len(blocks), np.int32)
+        found = np.zeros((len(blocks), len(self.automata)), np.int64)
+        for column, automaton in enumerate(self.automata):
+            for chosen, (codes, running, rare) in zip(groups, laid, strict=True):
+                marks, ends[chosen] = self._walk(automaton, codes, running, rare)
+                found[chosen, column] = np.count_nonzero(marks, axis=0)
+                lanes = np.flatnonzero(long[chosen])
+                for i, row in zip(chosen[lanes], np.ascontiguousarray(marks[:, lanes].T), strict=True):
+                    begins[i] = row[: len(blocks[i])]
+            # what the true walk differs in from the one that starts anew with the block
+            state = 0
+            for i in np.flatnonzero(long).tolist():
+                if follows[i]:
+                    before, place, state = automaton.run_on(state, blocks[i], begins[i])
+                    found[i, column] = before + np.count_nonzero(begins[i][place:])
+                    if place < len(blocks[i]):
+                        state = int(ends[i])
+                else:
+                    state = int(ends[i])
+        np.add.at(counts, owners, found)
         return counts
 
+    @staticmethod
+    def _laid(blocks: list[np.ndarray]) -> tuple[np.ndarray, list[int], list[bool]]:
+        """Codes (place, block) of blocks in descending order of length, how many blocks
+        reach each place, and whether any has a code beyond the table there."""
+        lengths = np.array([len(block) for block in blocks])
+        codes = np.zeros((lengths[0], len(blocks)), np.int32)
+        for lane, block in enumerate(blocks):
+            codes[: len(block), lane] = block
+        running = len(blocks) - np.searchsorted(lengths[::-1], np.arange(lengths[0]), "right")
+        return codes, running.tolist(), (codes >= ALPHABET).any(axis=1).tolist()
+
+    @staticmethod
+    def _walk(
+        automaton: Automaton, codes: np.ndarray, running: list[int], rare: list[bool]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Where phrases begin (place, block) if each block is walked from its start, and
+        the last states."""
+        states = np.full(codes.shape[1], automaton.begin, np.int32)
+        marks = np.zeros(codes.shape, bool)
+        for at, n in enumerate(running):
+            values = automaton.step(states[:n], codes[at, :n], rare[at])
+            np.greater_equal(values, START, out=marks[at, :n])
+            np.bitwise_and(values, START - 1, out=states[:n])
+        return marks, states
+
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """Language and score of each text: the best entropy's margin to the next, 0 to 1."""
-        blocks, owners, sizes = [], [], []
-        for number, text in enumerate(texts):
+        coded = []
+        for text in texts:
             has_letter = any(map(str.isalpha, text or "")) and bool(self.languages)
-            codes = self.alphabet.codes(text) if has_letter else np.zeros(0, np.uint8)
-            sizes.append(len(codes))
-            for at in range(0, len(codes), BLOCK):
-                blocks.append(codes[at : at + BLOCK])
-                owners.append(number)
-        if not blocks:
+            coded.append(self.alphabet.codes(text) if has_letter else np.zeros(0, np.int32))
+        sizes = [len(codes) for codes in coded]
+        if not any(sizes):
             return ["und"] * len(texts), [0.0] * len(texts)
-        totals = np.zeros((len(texts), len(self.languages)))
-        np.add.at(totals, np.array(owners), self.phrases(blocks))
-        cost = totals * self.bits / np.maximum(sizes, 1)[:, None]
+        cost = self.phrases(coded) * self.bits / np.maximum(sizes, 1)[:, None]
         best = cost.argmin(axis=1)
         least = cost[np.arange(len(texts)), best]
         others = cost.copy()
@@ -193,21 +298,28 @@ def samples(
 ) -> tuple[tuple[str, str], ...]:
     """Labelled text of each language, the same number of characters where there are enough.
 
-    Takes the ``rows`` rows of a language that come first by a hash of their text, and of
+    Takes the ``rows`` distinct texts of a language that come first by their hash, and of
     these as many characters as allowed, so what reaches the driver is bounded by the
-    number of languages. Spark keeps ``rows`` rows a task and language before it shuffles.
+    number of languages. Hashes are chosen first, ``rows`` a task and language before they
+    are shuffled; no text moves that is not chosen.
     """
-    order = Window.partitionBy("lang").orderBy("place", "part")
-    parts = (
-        labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-        .select(
-            "lang",
-            F.xxhash64("text").alias("place"),
-            F.substring("text", 1, chars).alias("part"),
-        )
+    order = Window.partitionBy("lang").orderBy("place")
+    placed = labelled.filter(F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
+        "lang", F.xxhash64("text").alias("place"), F.substring("text", 1, chars).alias("part")
+    )
+    # at most rows hashes a language, so they are broadcast
+    chosen = (
+        placed.select("lang", "place")
+        .distinct()
         .withColumn("at", F.row_number().over(order))
         .filter(F.col("at") <= rows)
     )
+    # of texts with one hash, the least
+    parts = (
+        placed.join(F.broadcast(chosen), ["lang", "place"])
+        .groupBy("lang", "at")
+        .agg(F.min("part").alias("part"))
+    )
     texts: dict[str, list[str]] = {}
     for row in parts.orderBy("lang", "at").toLocalIterator():
         taken = texts.setdefault(row.lang, [])
