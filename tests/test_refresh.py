@@ -102,3 +102,60 @@ def test_a_refresh_that_fails_changes_nothing(spark, tmp_path, monkeypatch):
     assert refresh.totals_stats(refresh.read_totals(spark, root), TODAY).isEmpty()
     with pytest.raises(ValueError, match="never been published"):
         refresh.read_totals(spark, f"{root}/other")
+
+
+def log_of(spark, root):
+    return [row.version for row in versions.published_versions(spark, root, "patrons")]
+
+
+def test_a_log_is_compacted_between_refreshes(spark, tmp_path, monkeypatch):
+    root, rows = str(tmp_path), sound_data(4)
+    before = small.tables(spark, rows)
+    refresh.start(before, root)
+    for day in range(2):
+        rows = changed(rows, day)
+        after = small.tables(spark, rows)
+        refresh.refresh(refresh.signed_changes(before, after), root)
+        before = after
+        # what is still part of the log is no leftover
+        versions.sweep(spark, root)
+        log, state = log_of(spark, root), refresh.read_state(spark, root).collect()
+        assert len(log) == 2
+        with monkeypatch.context() as patch:
+            patch.setattr(versions, "point", lambda *_: 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                refresh.compact(spark, root)
+        assert log_of(spark, root) == log
+        refresh.compact(spark, root)
+        (only,) = log_of(spark, root)
+        assert only > max(log) and versions.sweep(spark, root) >= len(log)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+        for version in log:
+            path = versions.version_path(root, "patrons", version)
+            assert files.load(path).where("path LIKE '%.parquet'").isEmpty()
+        left = {row.id: row for row in refresh.read_state(spark, root).collect()}
+        gone = [row for row in state if row.id not in left]
+        assert all(left[row.id] == row for row in state if row.id in left)
+        assert all(
+            row.record is None and row.creation is None and not row.places
+            and (row.addresses, row.holds) == (0, 0)
+            for row in gone
+        )
+    totals = refresh.read_totals(spark, root)
+    expected = stats_of(tractwise.patron_stats_direct(after, as_of=TODAY))
+    assert stats_of(refresh.totals_stats(totals, TODAY)) == expected
+    assert stats_of(refresh.totals_stats(refresh.area_totals(refresh.read_state(spark, root)), TODAY)) == expected
+
+
+def test_a_patron_without_anything_leaves_the_log(spark, tmp_path):
+    root = str(tmp_path)
+    tables = small.tables(spark, small.data([patron(1), patron(2)], holds=[(7, 2)]))
+    refresh.start(tables, root)
+    one = small.tables(spark, small.data([patron(2)], holds=[(7, 2)]))
+    gone = replace(one, **{n: getattr(one, n).withColumn("sign", F.lit(-1)) for n in TABLES})
+    refresh.refresh(gone, root)
+    assert sorted(row.id for row in refresh.read_state(spark, root).collect()) == [1, 2]
+    refresh.compact(spark, root)
+    assert [row.id for row in refresh.read_state(spark, root).collect()] == [1]
+    with pytest.raises(ValueError, match="never been published"):
+        refresh.compact(spark, f"{root}/other")

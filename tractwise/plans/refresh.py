@@ -11,10 +11,16 @@ changes, works out their new state, subtracts their old share from the totals of
 areas and adds the new one. Other patrons are neither joined, counted nor shuffled.
 
 The state is a log: a refresh appends the new rows of changed patrons, and the latest row of
-a patron counts. Totals are written whole, as they are small. One pointer row, written
+a patron counts. Totals are written whole, as they are small. One pointer file, written
 last, makes both valid (``sinks.versions``); a refresh that fails changes nothing.
 
-The conditions of ``patron_stats`` hold before and after the changes, with unique holds.
+Every version of the log has a pointer of its own, so all of them stay valid, also for
+``sinks.versions.sweep``. ``compact`` writes the latest rows as one version and points all
+older ones to it; what it replaced is then emptied by a sweep. Without it the log, and the
+scan of each refresh, grows with the number of days.
+
+Start, refresh and compact run one at a time. The conditions of ``patron_stats`` hold before
+and after the changes, with unique holds.
 """
 
 from __future__ import annotations
@@ -42,7 +48,7 @@ STATE = (
 #: Sums over joined rows, how many patrons have each, and what is counted once a patron.
 MEASURES = [*SUMS, *[f"known_{name}" for name in SUMS], "patrons", "held", "weight"]
 TOTALS = "geoid STRING, facet STRING, day DATE, " + ", ".join(f"{m} BIGINT" for m in MEASURES)
-#: The one owner of state and totals among the pointers.
+#: The owner of the totals among the pointers; versions of the log own themselves.
 OWNER = "all"
 
 
@@ -264,16 +270,19 @@ def _write(spark: SparkSession, root: str, state: DataFrame, totals: Callable[[D
     # the stored rows: totals do not work the changes out again
     rows = spark.read.schema(STATE).parquet(path)
     totals(rows).write.mode("errorifexists").parquet(versions.version_path(root, "totals", version))
-    versions.point(spark, root, version, {"patrons": None, "totals": None}, [OWNER])
+    owners = {"patrons": [version], "totals": [OWNER]}
+    versions.point(spark, root, version, {"patrons": None, "totals": None}, owners)
     return version
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame:
-    """The latest row of every patron."""
+    """The latest row of every patron; a log of one version is read as it is."""
     log = [row.version for row in versions.published_versions(spark, root, "patrons")]
     schema = f"{STATE}, version STRING"
     rows = spark.read.schema(schema).option("basePath", f"{root.rstrip('/')}/patrons")
     rows = rows.parquet(*[versions.version_path(root, "patrons", version) for version in log])
+    if len(log) == 1:
+        return rows.drop("version")
     names = [name for name in rows.columns if name not in ("id", "version")]
     latest = F.max_by(F.struct(*names), "version").alias("row")
     return rows.groupBy("id").agg(latest).select("id", "row.*")
@@ -285,6 +294,29 @@ def read_totals(spark: SparkSession, root: str) -> DataFrame:
     return spark.read.schema(TOTALS).parquet(versions.version_path(root, "totals", last))
 
 
+def compact(spark: SparkSession, root: str) -> None:
+    """Write the log as one version, without patrons of whom nothing is left.
+
+    One shuffle by patron, as reading the log takes; a run that fails changes nothing.
+    Totals stay as they are.
+    """
+    version = versions.new_version()
+    pointers = versions.valid(spark, root).where(F.col("output") == "patrons")
+    # a name a refresh: those that earlier compactions took in are pointed on
+    owners = [row.library for row in pointers.select("library").collect()]
+    known = (
+        F.col("record").isNotNull()
+        | F.col("creation").isNotNull()
+        | (F.col("addresses") != 0)
+        | (F.col("holds") != 0)
+        | (F.col("distinct_holds") != 0)
+        | (F.size("places") > 0)
+    )
+    state = read_state(spark, root).where(known)
+    state.write.mode("errorifexists").parquet(versions.version_path(root, "patrons", version))
+    versions.point(spark, root, version, {"patrons": None}, owners)
+
+
 def start(tables: PatronTables, root: str, level: str = "block_group") -> None:
     """Store state and totals of the tables, once."""
     spark = tables.patron_record.sparkSession

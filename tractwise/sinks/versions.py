@@ -18,7 +18,7 @@ All of it is DataFrame reads and writes, so it works wherever Spark can read and
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
@@ -92,8 +92,8 @@ def valid(spark: SparkSession, root: str) -> DataFrame:
 
 
 def published_versions(spark: SparkSession, root: str, output: str) -> list:
-    """Every version of an output that was ever made valid, oldest first; a row a run."""
-    found = _pointers(spark, root).where(F.col("output") == output).select("version").distinct()
+    """The valid versions of an output, oldest first; a row a version."""
+    found = valid(spark, root).where(F.col("output") == output).select("version").distinct()
     rows = found.orderBy("version").collect()
     if not rows:
         raise ValueError(f"{output} has never been published below {root}")
@@ -105,15 +105,19 @@ def point(
     root: str,
     version: str,
     outputs: dict[str, date | None],
-    libraries: Iterable[str],
+    libraries: Iterable[str] | Mapping[str, Iterable[str]],
 ) -> None:
     """Make a version the valid one of all these outputs and libraries, in one file.
 
-    ``outputs`` gives the day of dated outputs and None for the others.
+    ``outputs`` gives the day of dated outputs and None for the others; ``libraries`` may
+    differ by output.
     """
-    names = sorted(set(libraries))
+    if not isinstance(libraries, Mapping):
+        libraries = dict.fromkeys(outputs, sorted(set(libraries)))
     rows = [
-        (output, library, day, version) for output, day in outputs.items() for library in names
+        (output, library, day, version)
+        for output, day in outputs.items()
+        for library in sorted(set(libraries[output]))
     ]
     kind = "output STRING, library STRING, run_date DATE, version STRING"
     frame = spark.createDataFrame(rows, kind).withColumn("part", part_of(F.col("library")))

@@ -258,6 +258,7 @@ ORACLE: dict[str, str] = {
     "patron_stats_indexed": _with(_stats(_ASIA, "", "substr(code, 1, 12)", "'15000US'")),
     "patron_stats_indexed_tract": _with(_stats(_ASIA, "", "substr(code, 1, 11)", "'14000US'")),
     "patron_refresh": _level_stats("block_group"),
+    "patron_refresh_compacted": _level_stats("block_group"),
     "patron_stats_tract": _level_stats("tract"),
     "patron_stats_county": _level_stats("county"),
     "patron_stats_state": _level_stats("state"),

@@ -12,10 +12,11 @@ from tractwise.functions import codes, fixed, patrons
 from tractwise.functions.labels import render
 from tractwise.operators import areas, checks, facts, layers
 from tractwise.plans import area_index, jobs, refresh
-from tractwise.sinks import writers
+from tractwise.sinks import versions, writers
 from tractwise.sources import files
 from tractwise.sources.catalogue import map_views, parse_catalogue, service_area_tracts
 from tractwise.sources.files import lower_names
+from tractwise.sources.schemas import TABLES
 from verification import scratch, views
 from verification.views import AS_OF, ASIA_TRACTS
 
@@ -224,6 +225,29 @@ def patron_refresh(spark, sf_dir):
     return refresh.totals_stats(refresh.read_totals(spark, root), AS_OF)
 
 
+def patron_refresh_compacted(spark, sf_dir):
+    """Changes in two runs, with the log compacted and swept after the first."""
+    root = scratch.folder(spark, "state")
+    before, after = (views.tables(spark, sf_dir, earlier=earlier) for earlier in (True, False))
+    changes = refresh.signed_changes(before, after)
+
+    def half(even):
+        return replace(
+            changes,
+            **{
+                name: getattr(changes, name).where((F.col(key) % 2 == 0) == even)
+                for name, (_, key) in TABLES.items()
+            },
+        )
+
+    refresh.start(before, root)
+    refresh.refresh(half(True), root)
+    refresh.compact(spark, root)
+    versions.sweep(spark, root)
+    refresh.refresh(half(False), root)
+    return refresh.totals_stats(refresh.read_totals(spark, root), AS_OF)
+
+
 def stats_at(level: str) -> Query:
     def query(spark, sf_dir):
         return tractwise.patron_stats(views.tables(spark, sf_dir), as_of=AS_OF, level=level)
@@ -388,6 +412,7 @@ QUERIES: dict[str, Query] = {
     "patron_stats_indexed": patron_stats_indexed,
     "patron_stats_indexed_tract": patron_stats_indexed_tract,
     "patron_refresh": patron_refresh,
+    "patron_refresh_compacted": patron_refresh_compacted,
     "patron_stats_tract": stats_at("tract"),
     "patron_stats_county": stats_at("county"),
     "patron_stats_state": stats_at("state"),
