@@ -7,9 +7,11 @@ import re
 import zlib
 from collections import Counter
 from dataclasses import replace
+from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tractwise.llm import hard_negatives, spelling, toxicity
 from tractwise.llm.queries import QUERIES
@@ -120,6 +122,25 @@ def test_toxicity_of_odd_rows(spark):
     assert all(r.predicted == (r.doc_id % 3 == 0) for r in found if r.doc_id)
 
 
+def test_toxicity_writes_few_files(spark):
+    """Files of a bounded sample follow its tasks, not the shuffle partitions."""
+    docs = spark.range(300).select("id", F.concat(F.lit("some words "), "id").alias("text"))
+    docs = docs.withColumnRenamed("id", "doc_id")
+    labels = docs.select("doc_id", (F.col("doc_id") % 3 == 0).cast("int").alias("toxic"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://"))
+    before = set(shared.rglob("part-*"))
+    held = {"spark.sql.shuffle.partitions": "60", "spark.sql.adaptive.enabled": "false"}
+    old = {key: spark.conf.get(key) for key in held}
+    try:
+        for key, value in held.items():
+            spark.conf.set(key, value)
+        toxicity.fitted(docs, labels, toxicity.Fit(tasks=3))
+    finally:
+        for key, value in old.items():
+            spark.conf.set(key, value)
+    assert 0 < len(set(shared.rglob("part-*")) - before) <= 3
+
+
 def plain_words(rows):
     counts = Counter()
     for doc_id, text in rows:

@@ -260,9 +260,14 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> Model:
     """Learn from labelled documents; what reaches the driver is bounded by ``fit`` and the
     number of features."""
     bounded_batches(docs.sparkSession)
-    known = stored(labelled(labels), "labelled")
-    sample = stored(training_sample(docs, known, fit), "toxic-sample")
-    whole = {row.toxic: row["count"] for row in known.groupBy("toxic").count().collect()}
+    # cached, not written: a few bytes a row, read three times here and not again
+    known = labelled(labels).persist()
+    try:
+        # bounded by fit, so it needs no more files than the tasks that read it
+        sample = stored(training_sample(docs, known, fit).coalesce(fit.tasks), "toxic-sample")
+        whole = {row.toxic: row["count"] for row in known.groupBy("toxic").count().collect()}
+    finally:
+        known.unpersist()
     taken = {row.toxic: row["count"] for row in sample.groupBy("toxic").count().collect()}
     all_toxic, all_clean = whole.get(True, 0), whole.get(False, 0)
     n_toxic, n_clean = taken.get(True, 0), taken.get(False, 0)
